@@ -47,10 +47,16 @@ def _windows_1252() -> dict[int, str]:
     return out
 
 
+def _constant_map(entries: dict) -> Column:
+    """A map the optimizer folds into one constant."""
+    text = "\x01".join(f"{k}\x02{v}" for k, v in entries.items())
+    return F.str_to_map(F.lit(text), F.lit("\x01"), F.lit("\x02"))
+
+
 def unescape(c: Column) -> Column:
     """Decode character references; unknown names stay, without their semicolon."""
-    names = F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, chr(v))])
-    windows = F.create_map(*[F.lit(x) for k, v in _windows_1252().items() for x in (k, v)])
+    names = _constant_map({k: chr(v) for k, v in name2codepoint.items()})
+    windows = _constant_map(_windows_1252())
 
     def decode(p: Column) -> Column:
         name = F.regexp_extract(p, "^&([a-zA-Z][a-zA-Z0-9]*);?$", 1)
@@ -59,7 +65,7 @@ def unescape(c: Column) -> Column:
         number = F.when(digits != "", F.try_to_number(digits, F.lit("999999999")).cast("bigint")
                         ).when(hexes != "", F.conv(hexes, 16, 10).cast("bigint"))
         named = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
-        numbered = F.coalesce(F.try_element_at(windows, number.cast("int")),
+        numbered = F.coalesce(F.try_element_at(windows, number.cast("string")),
                               _from_codepoint(number))
         return (F.when(number.isNotNull(), numbered)
                 .when(name != "", named)
@@ -98,10 +104,11 @@ def html_tokens(html: Column) -> Column:
     return F.transform(raw, read)
 
 
-def text_of(tokens: Column, joiner: str = " ") -> Column:
-    """The stripped, non-empty texts of a token array."""
+def text_of(tokens: Column, joiner: Column | None = None) -> Column:
+    """The stripped, non-empty texts of a token array, by default joined by blanks."""
+    joiner = F.lit(" ") if joiner is None else joiner
     texts = F.filter(tokens, lambda t: (t["kind"] == TEXT) & (t["text"] != ""))
-    return F.array_join(F.transform(texts, lambda t: t["text"]), joiner)
+    return F.call_function("array_join", F.transform(texts, lambda t: t["text"]), joiner)
 
 
 def _first_element(tokens: Column, tags: list[str], class_pattern: str) -> Column:
@@ -115,51 +122,76 @@ def _first_element(tokens: Column, tags: list[str], class_pattern: str) -> Colum
     return F.coalesce(F.array_position(F.transform(tokens, fits), True), F.lit(0)).cast("int")
 
 
-def _element_end(tokens: Column, start: Column) -> Column:
-    """Position of the tag that closes the element opened at ``start``.
+def _element_ends(tokens: Column, starts: Column) -> Column:
+    """For each start position, that of the tag closing the element, 0 if none does.
 
-    Walks the open-element stack: an end tag closes everything up to its own
-    start tag, and is ignored if no such element is open.
+    One walk over the tags keeps the stack of open elements: an end tag closes
+    everything up to its own start tag, and is ignored if no such element is open.
     """
+    tags = F.filter(
+        F.transform(tokens, lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"),
+                                                  (i + 1).alias("pos"))),
+        lambda t: t["kind"].isin(OPEN, CLOSE))
     state = F.struct(
-        F.array().cast("array<string>").alias("stack"), F.lit(-1).alias("depth"),
-        F.lit(0).alias("pos"), F.lit(0).alias("end"))
+        F.array().cast("array<string>").alias("stack"),
+        F.transform(starts, lambda s: F.lit(-1)).alias("depths"),
+        F.transform(starts, lambda s: F.lit(0)).alias("ends"),
+        F.lit(0).alias("waiting"))
+
+    def opened(acc: Column, t: Column) -> Column:
+        """Push; remember the depth of the elements asked for."""
+        here = F.array_contains(starts, t["pos"])
+        size = F.size(acc["stack"])
+        return F.struct(
+            F.concat(acc["stack"], F.array(t["name"])).alias("stack"),
+            F.when(here, F.zip_with(starts, acc["depths"], lambda s, d: F.when(
+                s == t["pos"], size).otherwise(d))).otherwise(acc["depths"]).alias("depths"),
+            acc["ends"].alias("ends"),
+            F.when(here, acc["waiting"] + 1).otherwise(acc["waiting"]).alias("waiting"))
+
+    def closed(acc: Column, t: Column) -> Column:
+        """Pop; note the end of the elements that were on the part popped."""
+        back = F.array_position(F.reverse(acc["stack"]), t["name"]).cast("int")
+        stack = F.when(back > 0, F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - back)
+                       ).otherwise(acc["stack"])
+
+        def note(new: Column) -> Column:
+            ends = F.zip_with(acc["depths"], acc["ends"], lambda d, e: F.when(
+                (e == 0) & (d >= 0) & (F.size(new) <= d), t["pos"]).otherwise(e))
+            return F.struct(
+                new.alias("stack"), acc["depths"].alias("depths"),
+                F.when(acc["waiting"] > 0, ends).otherwise(acc["ends"]).alias("ends"),
+                acc["waiting"].alias("waiting"))
+
+        return let(stack, note)
 
     def step(acc: Column, t: Column) -> Column:
-        pos = acc["pos"] + 1
-        stack = acc["stack"]
-        idle = (acc["end"] > 0) | ~t["kind"].isin(OPEN, CLOSE)
-        opened = F.concat(stack, F.array(t["name"]))
-        back = F.array_position(F.reverse(stack), t["name"])
-        closed = F.when(back > 0, F.slice(stack, F.lit(1), F.size(stack) - back.cast("int"))
-                        ).otherwise(stack)
-        new_stack = (F.when(idle, stack).when(t["kind"] == OPEN, opened).otherwise(closed))
-        depth = F.when(pos == start, F.size(stack)).otherwise(acc["depth"])
-        return let(
-            F.struct(new_stack.alias("stack"), depth.alias("depth")),
-            lambda s: F.struct(
-                s["stack"].alias("stack"), s["depth"].alias("depth"), pos.alias("pos"),
-                F.when(acc["end"] > 0, acc["end"])
-                .when((s["depth"] >= 0) & (F.size(s["stack"]) <= s["depth"]), pos)
-                .otherwise(0).alias("end")))
-
-    last = F.aggregate(tokens, state, step)["end"]
-    return F.when(last > 0, last).otherwise(F.size(tokens))
-
-
-def element_text(tokens: Column, tags: list[str], class_pattern: str,
-                 joiner: str) -> Column:
-    """Text of the first element with one of the tags and a fitting class.
-
-    Null if the page has no such element; an empty string if it has no text.
-    """
+        return F.when(t["kind"] == OPEN, opened(acc, t)).otherwise(closed(acc, t))
 
-    def cut(start: Column) -> Column:
-        inner = let(_element_end(tokens, start),
-                    lambda end: F.slice(tokens, start, end - start + 1))
-        single = F.element_at(tokens, F.greatest(start, F.lit(1)))["kind"] == SINGLE
-        return (F.when(start == 0, F.lit(None).cast("string"))
-                .when(single, F.lit(""))
-                .otherwise(text_of(inner, joiner)))
+    return F.aggregate(tags, state, step, lambda acc: acc["ends"])
 
-    return F.when(F.size(tokens) > 0, let(_first_element(tokens, tags, class_pattern), cut))
+
+def element_texts(tokens: Column, wanted: list[tuple[list[str], str, str]]) -> Column:
+    """For each (tags, class pattern, joiner), the text of the first such element.
+
+    An entry is null if the page has no such element, and empty if it has no text.
+    """
+    joiners = F.array(*[F.lit(joiner) for _, _, joiner in wanted])
+    starts = F.array(*[_first_element(tokens, tags, cls) for tags, cls, _ in wanted])
+
+    def cut(starts: Column, ends: Column) -> Column:
+        def one(start: Column, i: Column) -> Column:
+            single = F.get(tokens, start - 1)["kind"] == SINGLE
+            end = F.get(ends, i)
+            last = F.when(end > 0, end).otherwise(F.size(tokens))
+            return (F.when(start == 0, F.lit(None).cast("string"))
+                    .when(single, F.lit(""))
+                    .otherwise(text_of(F.slice(tokens, start, last - start + 1),
+                                       F.get(joiners, i))))
+
+        return F.transform(starts, one)
+
+    none = F.transform(joiners, lambda j: F.lit(None).cast("string"))
+    return let(starts, lambda s: F.when(
+        F.exists(s, lambda at: at > 0),
+        let(_element_ends(tokens, s), lambda e: cut(s, e))).otherwise(none))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from encaje import lexicon
 
 # Unicode meaning of the short classes, spelled so that no JVM flag is needed.
-_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
-_WORD = r"\p{L}\p{N}_"
+# The common ranges stand first because the JVM tests a class from the left.
+_SPACE = r"\x20\x09-\x0d\x1c-\x1f\x{85}\p{Z}"
+_WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 SPACE = f"[{_SPACE}]"
 NOT_SPACE = f"[^{_SPACE}]"
 WORD = f"[{_WORD}]"
@@ -67,7 +68,8 @@ def clean_email(c: Column) -> Column:
     # keeps the scan linear on long runs without one.
     run_start = f"(?<!{NOT_SPACE})"
     run = f"{NOT_SPACE}[^{_SPACE}@]*+@{NOT_SPACE}+"
-    return F.regexp_replace(c, run_start + run, " ")
+    return let(c, lambda t: F.when(
+        F.contains(t, F.lit("@")), F.regexp_replace(t, run_start + run, " ")).otherwise(t))
 
 
 def clean_url(c: Column) -> Column:
@@ -79,7 +81,8 @@ def clean_phone(c: Column) -> Column:
 
 
 def clean_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+", " ")
+    # Single blanks are left as they are, which is most of them.
+    return F.regexp_replace(c, f"[{_SPACE}&&[^ ]]{SPACE}*| {SPACE}+", " ")
 
 
 def clean_chars(c: Column) -> Column:
@@ -144,15 +147,14 @@ def _has_group(pattern: str) -> bool:
 
 def section(c: Column, headers: list[str], stops: list[str],
             word_boundary: bool = False) -> Column:
-    """From the first header up to the first later stop word or the end.
+    """From the first header, in any case, up to the first later stop word or the end.
 
     The header is kept. ``word_boundary`` asks for whole words; by default a
     header inside a longer word counts too.
     """
-    head, stop = "|".join(headers), "|".join(stops)
     edge = _EDGE if word_boundary else ""
-    pattern = f"(?isu){edge}(?:{head}){edge}.*?(?={edge}(?:{stop}){edge}|\\z)"
-    return strip(F.regexp_extract(c, pattern, 0))
+    head, stop = (f"{edge}(?:{'|'.join(w)}){edge}" for w in (headers, stops))
+    return strip(F.regexp_extract(c, f"(?isu){head}.*?(?={stop}|\\z)", 0))
 
 
 def weighted(parts: list[tuple[Column, int]], keywords: list[Column],

@@ -88,17 +88,16 @@ def packed(vector: Column, size: int) -> Column:
     return _pack(F.lit(size), vector["idx"], vector["w"])
 
 
-def with_times(docs: DataFrame, samples: DataFrame, id_column: str) -> DataFrame:
-    """The documents used by samples, with how many samples use each."""
-    return docs.join(samples.groupBy(id_column).agg(F.count("*").alias("times")), id_column)
+def with_times(doc_terms: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """The documents that samples use, with how many samples use each."""
+    return doc_terms.join(samples.groupBy(key).agg(F.count("*").alias("times")), key)
 
 
-def fit_both(samples: DataFrame, cv_docs: DataFrame, job_docs: DataFrame,
+def fit_both(samples: DataFrame, cv_terms: DataFrame, job_terms: DataFrame,
              params: Vocabulary = DEFAULTS.vocabulary) -> tuple[DataFrame, DataFrame]:
-    """One vocabulary for each side, fitted on the texts of the samples."""
-    sides = []
-    for docs, key in ((cv_docs, "cv_id"), (job_docs, "job_id")):
-        used = with_times(docs.select(key, "text"), samples, key)
-        tokens = term_counts(ngrams(words(F.col("text")), params.max_ngram))
-        sides.append(fit_vocabulary(used.select("times", tokens.alias("terms")), params, "times"))
-    return sides[0], sides[1]
+    """One vocabulary for each side, fitted on the documents of the samples.
+
+    ``cv_terms`` and ``job_terms`` are the n-gram counts of the records.
+    """
+    return (fit_vocabulary(with_times(cv_terms, samples, "cv_id"), params, "times"),
+            fit_vocabulary(with_times(job_terms, samples, "job_id"), params, "times"))

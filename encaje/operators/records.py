@@ -13,22 +13,14 @@ JOB_FIELDS = ["title", "company", "location", "description", "requirements",
               "responsibilities", "benefits", "skills", "experience", "education"]
 
 
-def cv_sections(text: Column, sections: dict = lexicon.CV_SECTIONS,
-                word_boundary: bool = False) -> dict[str, Column]:
-    """One expression per section; each is empty where the section is absent."""
-    return {name: T.section(text, heads, stops, word_boundary)
-            for name, (heads, stops) in sections.items()}
-
-
 def add_cv_sections(df: DataFrame, text: str = "raw_text",
                     sections: dict = lexicon.CV_SECTIONS,
                     word_boundary: bool = False) -> DataFrame:
     """Add a struct ``sections``; ``other`` holds the text that has none of them."""
-    parts = cv_sections(F.col(text), sections, word_boundary)
-    names = list(parts)
-    # A header word may follow any other character, so this pre-check is exact:
-    # without one of them every section is empty.
-    found = df.withColumn("_s", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    names = list(sections)
+    found = df.withColumn("_s", F.struct(*[
+        T.section(F.col(text), heads, stops, word_boundary).alias(name)
+        for name, (heads, stops) in sections.items()]))
     empty = F.concat(*[F.col(f"_s.{n}") for n in names]) == ""
     return found.withColumn("sections", F.struct(
         *[F.col(f"_s.{n}").alias(n) for n in names],
@@ -70,23 +62,28 @@ def job_tokens(jobs: DataFrame) -> DataFrame:
             .withColumn("full_text", H.text_of(F.col("tokens"))))
 
 
-def job_fields(name: str, tokens: str = "tokens", full_text: str = "full_text") -> Column:
-    """One of the first seven fields: markup first, else the text patterns."""
-    text = F.col(full_text)
+def job_field_by_text(name: str, text: Column) -> Column:
+    """One of the first seven fields, read from the text of the page."""
     if name in lexicon.JOB_LINES:
-        by_text = T.first_of(text, lexicon.JOB_LINES[name])
-    else:
-        by_text = T.section(text, *lexicon.JOB_SECTIONS[name])
-    tags, cls, joiner = lexicon.JOB_ELEMENTS[name]
-    return F.coalesce(H.element_text(F.col(tokens), tags, cls, joiner), by_text)
+        return T.first_of(text, lexicon.JOB_LINES[name])
+    return T.section(text, *lexicon.JOB_SECTIONS[name])
+
+
+def found_job_fields(jobs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``job_id, full_text`` and the named fields: markup first, else the text."""
+    names = names or list(lexicon.JOB_ELEMENTS)
+    wanted = [lexicon.JOB_ELEMENTS[n] for n in names]
+    marked = job_tokens(jobs).select(
+        "job_id", "full_text", H.element_texts(F.col("tokens"), wanted).alias("_marked"))
+    return marked.select("job_id", "full_text", *[
+        F.coalesce(F.get("_marked", F.lit(i)), job_field_by_text(n, F.col("full_text"))).alias(n)
+        for i, n in enumerate(names)])
 
 
 def raw_job_fields(jobs: DataFrame) -> DataFrame:
     """``job_id`` and the eleven fields as found, not yet cleaned."""
-    found = job_tokens(jobs).select(
-        "job_id", *[job_fields(n).alias(n) for n in lexicon.JOB_ELEMENTS], "full_text")
     phrases = T.find_all(F.col("requirements"), [lexicon.JOB_SKILL_PHRASE])
-    return found.select(
+    return found_job_fields(jobs).select(
         "job_id", *lexicon.JOB_ELEMENTS,
         F.array_join(phrases, " ").alias("skills"),
         T.first_match(F.col("full_text"), lexicon.JOB_EXPERIENCE).alias("experience"),

@@ -266,7 +266,7 @@ def html_text(d: Inputs) -> DataFrame:
 
 def _job_field_query(name: str) -> None:
     def run(d: Inputs) -> DataFrame:
-        return R.job_tokens(d.jobs).select("job_id", R.job_fields(name).alias(name))
+        return R.found_job_fields(d.jobs, [name]).select("job_id", name)
 
     run.__name__ = f"job_{name}"
     query(run)
@@ -377,11 +377,19 @@ def tfidf(d: Inputs) -> DataFrame:
         "doc_id", "term", F.round("w", 6).alias("weight"))
 
 
+def _labelled(d: Inputs) -> DataFrame:
+    """Valid, labelled applications without texts, with their part of the split."""
+    placed = A.split(d.applications, "applicationId")
+    return A.valid_applications(A.renamed(placed), d.cvs, d.jobs).withColumnRenamed(
+        "applicationId", "application_id")
+
+
 def _parts(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Samples and the documents of both sides, made once."""
-    samples = written(_samples(d), "samples")
-    return (samples, MO.documents_of(samples, "cv_id", "cv_text"),
-            MO.documents_of(samples, "job_id", "job_text"))
+    """Samples, and the terms of both sides' records, each made once."""
+    samples = written(_labelled(d), "samples")
+    cvs = MO.term_side(R.cv_records(S.used_only(d.cvs, samples, "cv_id")), samples, "cv_id")
+    jobs = MO.term_side(R.job_records(S.used_only(d.jobs, samples, "job_id")), samples, "job_id")
+    return samples, written(cvs, "cv-terms"), written(jobs, "job-terms")
 
 
 def _fit_set(samples: DataFrame) -> DataFrame:
@@ -400,9 +408,9 @@ def fit_vectorizers(d: Inputs) -> DataFrame:
 @query
 def pair_features(d: Inputs) -> DataFrame:
     samples, cvs, jobs = _parts(d)
-    cv_terms, job_terms = (written(v, "terms") for v in FE.fit_both(_fit_set(samples), cvs, jobs))
+    cv_words, job_words = (written(v, "terms") for v in FE.fit_both(_fit_set(samples), cvs, jobs))
     slim = samples.select("application_id", "cv_id", "job_id", "label")
-    made = MO.pair_features(slim, cvs, jobs, cv_terms, job_terms)
+    made = MO.pair_features(slim, cvs, jobs, cv_words, job_words)
     size = DEFAULTS.vocabulary.max_terms
     values = made.withColumn("v", vector_to_array("features"))
     sides = {"cv": F.slice("v", 1, size), "job": F.slice("v", size + 1, size)}
@@ -425,22 +433,29 @@ def class_weights(d: Inputs) -> DataFrame:
     return E.class_weights(labelled).select("label", _six("weight"))
 
 
+def _training(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled samples with their part, and the texts of both sides' records."""
+    samples = written(_labelled(d), "samples")
+    cvs = R.cv_records(S.used_only(d.cvs, samples, "cv_id")).select("cv_id", "text")
+    jobs = R.job_records(S.used_only(d.jobs, samples, "job_id")).select("job_id", "text")
+    return samples, written(cvs, "cv-records"), written(jobs, "job-records")
+
+
 def _fitted(d: Inputs, batches: int = 1) -> tuple[MO.MatchModel, DataFrame]:
-    """A model fitted on the training part, and all samples with their part."""
-    samples = written(A.split(_samples(d), "application_id"), "split-samples")
-    model = MO.fit_model(samples.where("split = 'train'").drop("split"), batches=batches)
-    return model, samples
+    """A model fitted on the training part, and the scores of all samples."""
+    samples, cvs, jobs = _training(d)
+    model = MO.fit_model(samples.where("split = 'train'"), cvs, jobs, batches=batches)
+    return model, _sample_scores(model, samples, cvs, jobs)
 
 
-def _sample_scores(model: MO.MatchModel, samples: DataFrame) -> DataFrame:
-    cvs = MO.documents_of(samples, "cv_id", "cv_text")
-    jobs = MO.documents_of(samples, "job_id", "job_text")
-    pairs = samples.select("application_id", "cv_id", "job_id", "label", "split")
-    return model.score(pairs, cvs, jobs)
+def _sample_scores(model: MO.MatchModel, samples: DataFrame, cvs: DataFrame,
+                   jobs: DataFrame) -> DataFrame:
+    return model.score(samples.select("application_id", "cv_id", "job_id", "label", "split"),
+                       cvs, jobs)
 
 
-def _metrics_by_part(model: MO.MatchModel, samples: DataFrame) -> DataFrame:
-    scored = written(_sample_scores(model, samples), "scored")
+def _metrics_by_part(scored: DataFrame) -> DataFrame:
+    scored = written(scored, "scored")
     out = None
     for part in ("train", "validation", "test"):
         row = E.metrics(scored.where(F.col("split") == part)).select(
@@ -451,62 +466,55 @@ def _metrics_by_part(model: MO.MatchModel, samples: DataFrame) -> DataFrame:
 
 @query
 def train_forest(d: Inputs) -> DataFrame:
-    return _metrics_by_part(*_fitted(d))
+    return _metrics_by_part(_fitted(d)[1])
 
 
 @query
 def train_forest_batched(d: Inputs) -> DataFrame:
-    model, samples = _fitted(d, batches=3)
+    model, scored = _fitted(d, batches=3)
     trees = sum(f.getNumTrees for f in model.forests)
-    return _metrics_by_part(model, samples).withColumn("trees", F.lit(trees))
+    return _metrics_by_part(scored).withColumn("trees", F.lit(trees))
 
 
 @query
 def score_forest(d: Inputs) -> DataFrame:
-    model, samples = _fitted(d)
-    return _sample_scores(model, samples).select(
+    return _fitted(d)[1].select(
         "application_id", "cv_id", "job_id", "label", "class", _six("match_probability"),
         _six("match_score"))
 
 
 @query
 def model_roundtrip(d: Inputs) -> DataFrame:
-    model, samples = _fitted(d)
+    samples, cvs, jobs = _training(d)
+    model = MO.fit_model(samples.where("split = 'train'"), cvs, jobs)
     path = fresh_path(d.spark, "model")
     models.save_model(model, path, d.spark)
     loaded = models.load_or_default(path, d.spark)
-    before = _sample_scores(model, samples).select(
+    before = _sample_scores(model, samples, cvs, jobs).select(
         "application_id", F.col("match_probability").alias("p"))
-    after = _sample_scores(loaded, samples).select("application_id", "match_probability")
+    after = _sample_scores(loaded, samples, cvs, jobs).select(
+        "application_id", "match_probability")
     same = F.count_if(F.abs(F.col("p") - F.col("match_probability")) < 1e-12)
     return before.join(after, "application_id").agg(
         F.count("*").alias("pairs"), same.alias("same_scores"))
 
 
-def _shared_vectors(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of valid applications and both sides' vectors over one vocabulary."""
-    samples, cvs, jobs = _parts(d)
-    terms = written(MO.fit_shared(_fit_set(samples), cvs, jobs), "terms")
-    return (samples.select("application_id", "cv_id", "job_id"),
-            MO.side_vectors(cvs, terms, "cv_id"), MO.side_vectors(jobs, terms, "job_id"))
-
-
 @query
 def tfidf_cosine(d: Inputs) -> DataFrame:
-    pairs, cvs, jobs = _shared_vectors(d)
-    return S.attach_sides(pairs, cvs, jobs).select(
-        "application_id", "cv_id", "job_id",
-        F.round(S.tfidf_similarity(), 6).alias("similarity"))
+    samples, cvs, jobs = _parts(d)
+    terms = written(MO.fit_shared(_fit_set(samples), cvs, jobs), "terms")
+    sides = S.attach_sides(
+        samples.select("application_id", "cv_id", "job_id"),
+        MO.side_vectors(cvs, terms, "cv_id"), MO.side_vectors(jobs, terms, "job_id"))
+    return sides.select("application_id", "cv_id", "job_id",
+                        F.round(S.tfidf_similarity(), 6).alias("similarity"))
 
 
 @query
 def score_single_class(d: Inputs) -> DataFrame:
-    samples = written(_samples(d).withColumn("label", F.lit(0)), "one-label")
-    model = MO.fit_model(samples)
-    scored = model.score(
-        samples.select("application_id", "cv_id", "job_id"),
-        MO.documents_of(samples, "cv_id", "cv_text"),
-        MO.documents_of(samples, "job_id", "job_text"))
+    samples, cvs, jobs = _training(d)
+    model = MO.fit_model(samples.withColumn("label", F.lit(0)), cvs, jobs)
+    scored = model.score(samples.select("application_id", "cv_id", "job_id"), cvs, jobs)
     return scored.select("application_id", "cv_id", "job_id", "class", _six("match_probability"),
                          _six("match_score"))
 
