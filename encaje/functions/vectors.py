@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encaje.functions.text import let
@@ -63,3 +63,13 @@ def cosine(product: Column, left_square: Column, right_square: Column) -> Column
     """
     squares = left_square.cast("double") * right_square.cast("double")
     return F.when(squares > 0, product.cast("double") / F.sqrt(squares)).otherwise(F.lit(0.0))
+
+
+def entries(df: DataFrame, vector: str | Column, *keep: str | Column) -> DataFrame:
+    """One row per entry ``t`` of a vector, with some columns kept.
+
+    Empty vectors give no rows. An outer explode on purpose: a plain one makes
+    the optimizer test the array beforehand, which computes a vector made by
+    expressions three times over.
+    """
+    return df.select(*keep, F.explode_outer(vector).alias("t")).where(F.col("t").isNotNull())

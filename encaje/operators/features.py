@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from encaje.functions.text import let, ngrams, words
-from encaje.functions.vectors import term_counts
+from encaje.functions.vectors import entries, term_counts
 from encaje.settings import DEFAULTS, Vocabulary
 
 
@@ -34,7 +35,7 @@ def fit_vocabulary(doc_terms: DataFrame, params: Vocabulary = DEFAULTS.vocabular
     often = F.lit(1).cast("bigint") if times is None else F.col(times).cast("bigint")
     counted = doc_terms.select(often.alias("times"), "terms")
     docs = counted.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("docs"))
-    terms = (counted.select("times", F.explode("terms").alias("t"))
+    terms = (entries(counted, "terms", "times")
              .groupBy(F.col("t.term").alias("term"))
              .agg(F.sum("times").alias("df"), F.sum(F.col("times") * F.col("t.n")).alias("total"))
              .where(F.col("df") >= params.min_df)
@@ -78,14 +79,16 @@ def unit_length(vector: Column) -> Column:
         vector, lambda t: F.struct(t["idx"].alias("idx"), (t["w"] / length).alias("w"))))
 
 
-@F.udf(VectorUDT())
-def _pack(size, idx, weights):
-    return Vectors.sparse(size, idx, weights)
-
-
 def packed(vector: Column, size: int) -> Column:
-    """An ML vector; Spark has no built-in for sparse ones."""
-    return _pack(F.lit(size), vector["idx"], vector["w"])
+    """The same vector as a sparse ML vector.
+
+    No built-in makes a sparse vector from arrays, but the JSON reader accepts
+    the vector type, in the struct form it is stored in, without leaving the JVM.
+    """
+    stored = F.to_json(F.struct(F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"), vector["idx"].alias("indices"),
+        vector["w"].alias("values")).alias("v")))
+    return F.from_json(stored, StructType([StructField("v", VectorUDT())]))["v"]
 
 
 def with_times(doc_terms: DataFrame, samples: DataFrame, key: str) -> DataFrame:

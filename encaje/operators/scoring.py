@@ -17,8 +17,9 @@ def word_vectors(records: DataFrame, id_column: str, text: str = "text") -> Data
     return counted.withColumn("square", square_norm(F.col("terms")))
 
 
-def attach_sides(pairs: DataFrame, cv_side: DataFrame, job_side: DataFrame) -> DataFrame:
-    """Left-join both sides, columns prefixed ``cv_`` and ``job_``; pairs are all kept.
+def attach_sides(pairs: DataFrame, cv_side: DataFrame, job_side: DataFrame,
+                 how: str = "left") -> DataFrame:
+    """Join both sides, columns prefixed ``cv_`` and ``job_``; by default all pairs are kept.
 
     Every id has one row on its side, so a popular id only makes the pair side
     of the join heavy, which adaptive execution splits.
@@ -26,8 +27,8 @@ def attach_sides(pairs: DataFrame, cv_side: DataFrame, job_side: DataFrame) -> D
     def prefixed(df: DataFrame, key: str, prefix: str) -> DataFrame:
         return df.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != key])
 
-    return (pairs.join(prefixed(cv_side, "cv_id", "cv"), "cv_id", "left")
-            .join(prefixed(job_side, "job_id", "job"), "job_id", "left"))
+    return (pairs.join(prefixed(cv_side, "cv_id", "cv"), "cv_id", how)
+            .join(prefixed(job_side, "job_id", "job"), "job_id", how))
 
 
 def used_only(side: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

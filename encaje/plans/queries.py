@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from encaje.functions import present
 from encaje.functions import text as T
+from encaje.functions.vectors import entries
 from encaje.operators import (
     applications as A, evaluate as E, features as FE, matching as M, model as MO,
     ranking as RK, records as R, scoring as S)
@@ -361,7 +362,7 @@ def idf(d: Inputs) -> DataFrame:
 @query
 def tf_sublinear(d: Inputs) -> DataFrame:
     counts = FE.document_terms(d.documents, "doc_id", longest=1)
-    return counts.select("doc_id", F.explode("terms").alias("t")).select(
+    return entries(counts, "terms", "doc_id").select(
         "doc_id", F.col("t.term").alias("term"),
         F.round(FE.sublinear(F.col("t.n")), 6).alias("tf"))
 
@@ -370,9 +371,8 @@ def tf_sublinear(d: Inputs) -> DataFrame:
 def tfidf(d: Inputs) -> DataFrame:
     terms = FE.document_terms(d.documents, "doc_id")
     vocab = written(FE.fit_vocabulary(terms), "terms")
-    entries = FE.tfidf_vectors(terms, vocab, "doc_id").select(
-        "doc_id", F.explode("vector").alias("e"))
-    return entries.select("doc_id", F.col("e.idx").alias("idx"), F.col("e.w").alias("w")).join(
+    weights = entries(FE.tfidf_vectors(terms, vocab, "doc_id"), "vector", "doc_id")
+    return weights.select("doc_id", F.col("t.idx").alias("idx"), F.col("t.w").alias("w")).join(
         FE.small(vocab.select("idx", "term"), DEFAULTS.vocabulary.max_terms), "idx").select(
         "doc_id", "term", F.round("w", 6).alias("weight"))
 
