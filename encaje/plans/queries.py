@@ -629,8 +629,7 @@ def recommend_all(d: Inputs) -> DataFrame:
 def stream_recommend(d: Inputs) -> DataFrame:
     arriving, out, state = (fresh_path(d.spark, n) for n in ("arriving", "answers", "state"))
     d.cvs.write.parquet(arriving)
-    jobs = written(R.job_records(d.jobs).select("job_id", "text"), "job-records")
     running = stream.stream_recommend(
-        stream.arriving_cvs(d.spark, arriving), jobs, out, state)
+        stream.arriving_cvs(d.spark, arriving), R.job_records(d.jobs), out, state)
     running.awaitTermination()
     return _matches(stream.read_answers(d.spark, out))

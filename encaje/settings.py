@@ -39,6 +39,7 @@ class Settings:
     recommend_top: int = 5
     batch_rows: int = 1000
     block_rows: int = 1024
+    block_words: int = 2_000_000
     broadcast_rows: int = 200_000
     vocabulary: Vocabulary = Vocabulary()
     forest: Forest = Forest()
