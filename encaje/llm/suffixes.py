@@ -33,7 +33,7 @@ GRAM = 200
 CHUNK = 1 << 20
 SHARD_SYMBOLS = 2 << 20
 HOT_SEGMENTS = 20_000  # different segments of one gram that a shard takes
-BROADCAST_ROWS = 1_000_000  # narrow rows that may be broadcast after counting
+BROADCAST_ROWS = 400_000  # narrow rows that may be broadcast after counting
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 40, 1 << 62)) | 1
