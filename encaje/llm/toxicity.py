@@ -29,10 +29,12 @@ FOLD = bytes(_TABLE)
 
 @dataclass(frozen=True)
 class Settings:
-    """``label_rows`` bounds the labelled rows that fit the model, ``words`` its vocabulary."""
+    """``label_rows`` bounds the labelled rows that fit the model, ``words`` its vocabulary. A word counts
+    only if its chi-squared statistic reaches ``least_chi2``: others would fit noise."""
 
     label_rows: int = 20_000
     words: int = 1024
+    least_chi2: float = 12.0
     grades: int = 3
     penalty: float = 1e-4
     rounds: int = 400
@@ -135,9 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     seen = seen.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     gap = F.col("pos") / pos - F.col("neg") / neg
     share = (F.col("pos") + F.col("neg")) / (pos + neg)
+    scale = pos * neg / (pos + neg)
     best = seen.where("pos + neg > 1").select(
-        "word", (gap * gap / (share * (1 - share) + 1e-9)).alias("score"),
-        (gap > 0).alias("up")).orderBy(F.desc("score"), "word").limit(settings.words).collect()
+        "word", (gap * gap * scale / (share * (1 - share) + 1e-9)).alias("score"),
+        (gap > 0).alias("up")).where(F.col("score") >= settings.least_chi2).orderBy(F.desc("score"), "word").limit(settings.words).collect()
     model = Ordinal([r["word"] for r in best], settings.grades)
     if not best:
         return model
