@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 RANK_ROWS = 4096
+SLICE_ROWS = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +33,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller parts, so that little of a batch is ever held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def by_batch(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
              fn: Callable[..., Sequence], keep: Sequence[str] = ()) -> DataFrame:
     """Map Arrow batches: ``fn`` gets the input columns as Arrow arrays and returns one list
@@ -46,7 +55,7 @@ def by_batch(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
     at, kept = [names.index(c) for c in inputs], [names.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = fn(*[batch.column(i) for i in at])
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type)
                     for x, f in zip(got, arrow, strict=True)]
@@ -62,7 +71,7 @@ def to_rows(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(fn(*batch.columns))
             columns = list(zip(*rows)) if rows else [[] for _ in arrow]
             yield pa.RecordBatch.from_arrays(

@@ -37,7 +37,7 @@ PERCENT = 85
 GROUP = 512  # classes that one task compares at once
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast after counting
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(8)
 _FACTORS = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)

@@ -25,7 +25,7 @@ from encaje.session import written
 
 SEQUENCE = 4096
 UNIT = 16  # width of a length class in tokens
-CACHE_WORDS = 500_000
+CACHE_WORDS, CACHE_CORES = 150_000, 300_000
 SPLIT_CHARS = ".,!*%&$#;:?"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -79,7 +79,7 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.words) > CACHE_WORDS:
             self.words = {"": b""}
-        if len(self.cores) > CACHE_WORDS:
+        if len(self.cores) > CACHE_CORES:
             self.cores = {"": b""}
         parts, odd = [], []
         for w in words:
