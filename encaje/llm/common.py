@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 RANK_ROWS = 4096
 SLICE_ROWS = 1024
+BATCH_BYTES = "16m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +42,17 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark send Python at most ``SLICE_ROWS`` rows and ``BATCH_BYTES`` at once.
+
+    A setting of the session, lowered if it is higher: both sides of the pipe hold whole batches.
+    """
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= SLICE_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SLICE_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def by_batch(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
              fn: Callable[..., Sequence], keep: Sequence[str] = ()) -> DataFrame:
     """Map Arrow batches: ``fn`` gets the input columns as Arrow arrays and returns one list
@@ -48,6 +60,7 @@ def by_batch(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
     all other columns are dropped before Python sees them. Batches are bounded in rows and bytes
     by Spark, so a task holds one batch whatever the size of its partition.
     """
+    small_batches(df.sparkSession)
     names = list(dict.fromkeys([*keep, *inputs]))
     df = df.select(*[F.col(f"`{c}`") for c in names])
     out = T.StructType([df.schema[c] for c in keep] + schema.fields)
@@ -67,6 +80,7 @@ def by_batch(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
 def to_rows(df: DataFrame, inputs: Sequence[str], schema: T.StructType,
             fn: Callable[..., Iterator[tuple]]) -> DataFrame:
     """Like :func:`by_batch`, but ``fn`` yields any number of output rows for a batch."""
+    small_batches(df.sparkSession)
     df = df.select(*[F.col(f"`{c}`") for c in inputs])
     arrow = to_arrow_schema(schema)
 
