@@ -7,7 +7,7 @@ nothing is shuffled.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +20,9 @@ _TOKEN = (
     r"|<[!?][^>]*>"
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
-    r"""|</?[a-z][^'">]*(?:(?:"[^"]*"|'[^']*')[^'">]*)*>"""
+    # possessive, so that no number of quoted values makes the matcher recurse
+    r"""|</?[a-z][^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+)*+>"""
+    r"|</?[a-z][^<>]*+>"  # a quote that never closes: the tag ends at its first >
     r"|[^<]+|<"
 )
 _CLASS = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -55,7 +57,7 @@ def _constant_map(entries: dict) -> Column:
 
 def unescape(c: Column) -> Column:
     """Decode character references; unknown names stay, without their semicolon."""
-    names = _constant_map({k: chr(v) for k, v in name2codepoint.items()})
+    names = _constant_map({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
     windows = _constant_map(_windows_1252())
 
     def decode(p: Column) -> Column:

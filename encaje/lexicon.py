@@ -205,8 +205,8 @@ EMPTY_ERROR = "empty vocabulary; perhaps the documents only contain stop words"
 BANDS = [("high", 80.0), ("medium", 60.0)]
 LOWEST_BAND = "low"
 ADVICE = {
-    True: "¡Excelente coincidencia! El aplicante parece ser adecuado para la oferta.",
-    False: "Baja coincidencia. Esta oferta no parece adecuada para el perfil seleccionado.",
+    True: "suitable",
+    False: "not_suitable",
 }
 
 # --- Fixed values: elements without an end tag -----------------------------

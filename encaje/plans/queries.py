@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 # The one candidate and the one posting of the one-to-many queries.
 ONE_CV, ONE_JOB = "cv1", "job1"
 
+SAMPLE_ROWS = 100  # of the two sampling queries; below the size of their tables
+
 
 def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     """Register under the function's name; the inputs are built from the folder."""
@@ -171,14 +173,14 @@ def split_80_10_10(d: Inputs) -> DataFrame:
 
 @query
 def sample_jobs(d: Inputs) -> DataFrame:
-    return A.sample_rows(d.jobs.select("job_id"), "job_id", DEFAULTS.recommend_from)
+    return A.sample_rows(d.jobs.select("job_id"), "job_id", SAMPLE_ROWS)
 
 
 @query
 def fit_sample(d: Inputs) -> DataFrame:
     train = A.split(d.applications, "applicationId").where("split = 'train'")
     return A.sample_rows(train.select("applicationId", "candidateId", "jobId"),
-                         "applicationId", DEFAULTS.fit_rows)
+                         "applicationId", SAMPLE_ROWS)
 
 
 # --- cleaning ---------------------------------------------------------------

@@ -34,10 +34,9 @@ class Settings:
     seed: int = 42
     train_ratio: float = 0.8
     validation_ratio: float = 0.1
-    fit_rows: int | None = 5000
-    recommend_from: int | None = 1000
+    fit_rows: int | None = None
+    recommend_from: int | None = None
     recommend_top: int = 5
-    batch_rows: int = 1000
     block_rows: int = 1024
     block_words: int = 2_000_000
     broadcast_rows: int = 200_000

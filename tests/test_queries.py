@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from encaje.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 FITTED = {"train_forest", "train_forest_batched", "score_forest"}
@@ -27,11 +28,12 @@ def rows(df):
 
 
 def test_only_fitted_forests_lack_check_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == FITTED
+    assert set(QUERIES) - set(entry.oracle_sql()) == FITTED
+    assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()

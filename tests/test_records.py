@@ -131,3 +131,14 @@ def test_job_patterns_stay_on_one_line(spark):
 def test_empty_job(spark):
     row = job(spark, None)
     assert row["text"] == "" and row["keywords"]["skills"] == [] and row["success"]
+
+
+def test_pages_with_very_many_quotes(value):
+    stray = "<p>si (a<b " + '"k":"v", ' * 100_000 + "</p>"
+    attributes = "<p " + 'a="1" ' * 100_000 + ">hola &apos;b&apos;</p>"
+    for page in (stray, attributes):
+        assert value(F.size(H.html_tokens(F.col("h"))), h=page) >= 1
+    assert value(H.unescape(F.col("h")), h="&apos;a&apos; &hellip;") == "'a' …"
+    open_quote = '<p><a title="x>hola</a> mundo</p>'
+    tokens = value(H.html_tokens(F.col("h")), h=open_quote)
+    assert " ".join(t["text"] for t in tokens if t["text"]) == "hola mundo"
