@@ -41,6 +41,7 @@ TAGS = ("html body div article main section nav header footer aside form ul ol l
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
 MARKERS = frozenset({"article", "main"})
 TOKENS = 32  # buckets of attribute tokens
+SCORED = 10_000  # elements
 SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[a-z]+")
 
@@ -151,8 +152,7 @@ def features(tree: Tree) -> np.ndarray:
         for t in x.tokens:
             tokens[i, t] = 1
         if x.parent >= 0:
-            above[i] = np.maximum(above[x.parent], tokens[x.parent]) if (
-                tokens[x.parent].any() or above[x.parent].any()) else above[i]
+            np.maximum(above[x.parent], tokens[x.parent], out=above[i])
     points = np.zeros(n)
     for i, text, _ in tree.texts:
         size = len(text.strip())
@@ -291,12 +291,25 @@ def blocks(tree: Tree, kept: np.ndarray) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
-def extract(html: str, model: Boosted) -> str:
-    """Main text of one page; empty if there is none."""
-    if not html.strip():
-        return ""
-    tree = Tree(html)
-    return blocks(tree, decode(tree, model.score(features(tree))))
+def extract(pages: list[str], model: Boosted) -> list[str]:
+    """Main text of each page; empty if there is none. The elements of several pages are scored at
+    once, up to ``SCORED`` and those of one page more."""
+    out = [""] * len(pages)
+    group: list[tuple[int, Tree]] = []
+    size = 0
+    for i, html in enumerate(pages):
+        if html.strip():
+            group.append((i, Tree(html)))
+            size += len(group[-1][1].nodes)
+        if group and (size >= SCORED or i == len(pages) - 1):
+            scores = model.score(np.concatenate([features(tree) for _, tree in group]))
+            at = 0
+            for k, tree in group:
+                n = len(tree.nodes)
+                out[k] = blocks(tree, decode(tree, scores[at:at + n]))
+                at += n
+            group, size = [], 0
+    return out
 
 
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Boosted:
@@ -330,7 +343,7 @@ def main_text(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     model = fit(pages, settings)
 
     def run(html: pa.Array) -> list[list]:
-        out = [extract(h, model) for h in strings(html)]
+        out = extract(strings(html), model)
         return [out, [len(t) for t in out]]
 
     return by_batch(pages, ["html"], fields("text string, n_chars long"), run,
