@@ -138,3 +138,13 @@ def process_counts(status: DataFrame, what: str) -> DataFrame:
     return status.agg(
         F.count_if("success").alias("succeeded"), F.count("*").alias("total")
     ).select(F.lit(what).alias("corpus"), "succeeded", "total")
+
+
+def process_summary(ids: DataFrame, records: DataFrame, id_column: str, what: str) -> DataFrame:
+    """Successes and total of the requested ids, records with text and their characters, as one row."""
+    found = ids.select(id_column).join(records.select(id_column, "text", "success"), id_column, "left")
+    return found.agg(
+        F.count_if("success").alias("succeeded"), F.count("*").alias("total"),
+        F.count_if(F.col("text") != "").alias("with_text"),
+        F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("text_chars"),
+    ).select(F.lit(what).alias("corpus"), "succeeded", "total", "with_text", "text_chars")

@@ -256,7 +256,7 @@ def cv_records(d: Inputs) -> DataFrame:
 @query
 def cv_process_summary(d: Inputs) -> DataFrame:
     ids = A.ids_in_use(A.renamed(d.applications), "cv_id")
-    return R.process_counts(A.process_status(ids, R.cv_records(d.cvs), "cv_id"), "cv")
+    return R.process_summary(ids, R.cv_records(d.cvs), "cv_id", "cv")
 
 
 # --- posting records --------------------------------------------------------
@@ -331,7 +331,7 @@ def job_records(d: Inputs) -> DataFrame:
 @query
 def job_process_summary(d: Inputs) -> DataFrame:
     ids = A.ids_in_use(A.renamed(d.applications), "job_id")
-    return R.process_counts(A.process_status(ids, R.job_records(d.jobs), "job_id"), "job")
+    return R.process_summary(ids, R.job_records(d.jobs), "job_id", "job")
 
 
 # --- features ---------------------------------------------------------------
