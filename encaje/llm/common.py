@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -34,12 +35,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that is free again back to the system: Spark keeps idle workers for a while,
+    and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, so that little of a batch is ever held as Python objects."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
-        pa.default_memory_pool().release_unused()
+        del batch
+        release()
 
 
 def small_batches(spark: SparkSession) -> None:

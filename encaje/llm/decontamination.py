@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from encaje.llm.common import by_batch, fields, fresh, texts
+from encaje.session import written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20  # benchmark text that is broadcast at once
@@ -219,61 +221,72 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
     yield phrases.close()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW,
-         text_col: str = "text") -> tuple[DataFrame, str]:
-    """The ``keep`` columns of every document and one more struct column, whose name is
-    returned: n_words, starts, ends (merged spans in words) and items."""
-    name = fresh(docs, "_hits")
-    kind = f"`{name}` struct<n_words: long, starts: array<long>, ends: array<long>, items: array<string>>"
-    context = docs.sparkSession.sparkContext
-    for k, block in enumerate(blocks(benchmark, window)):
-        shared = context.broadcast(block)
+Found = list[tuple[int, list[tuple[int, int]], set]]  # words, merged spans in words, items
+
 
-        def run(text: pa.Array, *before: pa.Array) -> list[list]:
+def by_hits(docs: DataFrame, benchmark: DataFrame, schema: T.StructType,
+            finish: Callable[[pa.Array, Found], list], keep: list[str], window: int = WINDOW,
+            text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns of every document and the columns that ``finish`` makes of its text
+    and its hits.
+
+    Each pass over the texts has one Python step; between the passes of a benchmark of several
+    blocks the hits so far are written.
+    """
+    name = fresh(docs, "_hits")
+    kind = fields(f"`{name}` struct<n_words: long, starts: array<long>, ends: array<long>, "
+                  "items: array<string>>")
+    context, rest = docs.sparkSession.sparkContext, blocks(benchmark, window)
+    block, held = next(rest), []
+    while True:
+        following = next(rest, None)
+        shared, last = context.broadcast(block), following is None
+
+        def run(text: pa.Array, *before: pa.Array, shared=shared, last=last) -> list:
             batch = [words(x) for x in texts(text)]
-            old = before[0].to_pylist() if before else [None] * len(batch)
-            out = []
-            for doc, (spans, items), o in zip(batch, shared.value.occurrences(batch), old,
-                                              strict=True):
-                if o:
-                    spans = merged(spans + list(zip(o["starts"], o["ends"], strict=True)))
-                    items = items | set(o["items"])
-                out.append({"n_words": len(doc), "starts": [a for a, _ in spans],
-                            "ends": [b for _, b in spans], "items": sorted(items)})
-            return [out]
-
-        if k:
-            docs = docs.withColumnRenamed(name, name + "0")
-        passed = list(dict.fromkeys([*keep, text_col]))
-        docs = by_batch(docs, [text_col, *([name + "0"] if k else [])], fields(kind), run,
-                        keep=passed)
-    return docs.select(*[F.col(f"`{c}`") for c in [*keep, name]]), name
+            found = [(len(doc), spans, items) for doc, (spans, items) in zip(
+                batch, shared.value.occurrences(batch), strict=True)]
+            del batch
+            for i, o in enumerate(before[0].to_pylist() if before else ()):
+                n, spans, items = found[i]
+                found[i] = (n, merged(spans + list(zip(o["starts"], o["ends"], strict=True))),
+                            items | set(o["items"]))
+            if last:
+                return finish(text, found)
+            return [[{"n_words": n, "starts": [a for a, _ in spans],
+                      "ends": [b for _, b in spans], "items": sorted(items)}
+                     for n, spans, items in found]]
+
+        passed = keep if last else list(dict.fromkeys([*keep, text_col]))
+        docs = by_batch(docs, [text_col, *held], schema if last else kind, run, keep=passed)
+        if last:
+            return docs
+        docs, block, held = written(docs, "hits"), following, [name]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    found, name = hits(docs, benchmark, ["doc_id"], window)
 
-    def digest(column: pa.Array) -> list[list]:
-        rows = column.to_pylist()
-        hit = [sum(r["ends"]) - sum(r["starts"]) for r in rows]
-        return [[r["n_words"] for r in rows], hit, [len(r["items"]) for r in rows],
-                [hashlib.sha256(",".join(r["items"]).encode()).hexdigest() for r in rows],
+    def digest(_: pa.Array, found: Found) -> list:
+        hit = [sum(b - a for a, b in spans) for _, spans, _ in found]
+        return [[n for n, _, _ in found], hit, [len(items) for _, _, items in found],
+                [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+                 for _, _, items in found],
                 [h > 0 for h in hit]]
 
-    return by_batch(found, [name], fields(
+    return by_hits(docs, benchmark, fields(
         "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"),
-        digest, keep=["doc_id"])
+        digest, ["doc_id"], window)
 
 
-def cut(text: str, starts: list[int], ends: list[int]) -> str:
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans, given in words; white space around a span is left."""
-    if not starts:
+    if not spans:
         return text
     folded = WORD.finditer(text)
     places = [m.span() for m in folded]
     parts, at = [], 0
-    for a, b in zip(starts, ends, strict=True):
+    for a, b in spans:
         parts.append(text[at:places[a][0]])
         at = places[b - 1][1]
     return "".join(parts) + text[at:]
@@ -283,18 +296,16 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """The documents with their columns, benchmark spans cut from ``text``; ``n_chars``, if
     there, follows. Documents of which no word is left are dropped; those without words before stay.
     """
-    found, name = hits(docs, benchmark, docs.columns, window)
-    new = fresh(found, "_cut")
-
-    def run(text: pa.Array, column: pa.Array) -> list[list]:
-        return [[cut(t, h["starts"], h["ends"]) if t and h["starts"] else t
-                 for t, h in zip(text.to_pylist(), column.to_pylist(), strict=True)]]
-
-    done = by_batch(found, ["text", name], fields(f"`{new}` string"), run,
-                    keep=[*docs.columns, name])
-    whole = (F.size(F.col(name)["starts"]) == 1) & (F.col(name)["starts"][0] == 0) & (
-        F.col(name)["ends"][0] == F.col(name)["n_words"])
-    done = done.where(~whole).withColumn("text", F.col(new))
+    new, gone = fresh(docs, "_cut"), fresh(docs, "_gone")
+
+    def finish(text: pa.Array, found: Found) -> list:
+        return [[cut(t, spans) if t and spans else t
+                 for t, (_, spans, _) in zip(text.to_pylist(), found, strict=True)],
+                [spans == [(0, n)] for n, spans, _ in found]]
+
+    done = by_hits(docs, benchmark, fields(f"`{new}` string, `{gone}` boolean"), finish,
+                   docs.columns, window)
+    done = done.where(~F.col(gone)).withColumn("text", F.col(new))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.char_length("text").cast(kind))
