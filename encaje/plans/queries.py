@@ -627,6 +627,13 @@ def recommend_all(d: Inputs) -> DataFrame:
     return _matches(M.recommend_all(R.cv_records(d.cvs), R.job_records(d.jobs)))
 
 
+@query
+def recommend_all_single_class(d: Inputs) -> DataFrame:
+    samples, cvs, jobs = _training(d)
+    model = MO.fit_model(samples.withColumn("label", F.lit(0)), cvs, jobs)
+    return _matches(M.recommend_all(cvs, jobs, model=model))
+
+
 @query
 def stream_recommend(d: Inputs) -> DataFrame:
     arriving, out, state = (fresh_path(d.spark, n) for n in ("arriving", "answers", "state"))

@@ -37,7 +37,7 @@ class Settings:
     fit_rows: int | None = None
     recommend_from: int | None = None
     recommend_top: int = 5
-    block_rows: int = 1024
+    block_rows: int = 8192
     block_words: int = 2_000_000
     broadcast_rows: int = 200_000
     vocabulary: Vocabulary = Vocabulary()
