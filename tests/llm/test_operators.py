@@ -107,6 +107,28 @@ def test_anomalies_score_higher():
     assert forest.score(np.full((1, 5), 8.0))[0] > forest.score(rows).mean() + 0.15
 
 
+def test_quality_catches_labelled_bad_rows(spark):
+    rng, rows = np.random.default_rng(9), []
+    for i in range(400):
+        words = [w + "," * int(rng.random() < rng.choice([0.02, 0.3])) for w in
+                 prose(1000 + i, int(rng.choice([60, 100, 400]))).split()]
+        if i % 16 == 0:
+            words = [w + "***" for w in words]  # junk that passes the base rules
+        elif i % 16 == 1:
+            words = [w + " |" * (j % 3 == 0) for j, w in enumerate(words)]  # a menu
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 16 > 1), 0) for i in range(200)],
+                                   "doc_id long, quality int, toxic int")
+    got = quality.judge(frame, labels).collect()
+    assert not any(r.base_failed for r in got)
+    bad = [r.kept for r in got if r.doc_id % 16 < 2]
+    good = [r.kept for r in got if r.doc_id % 16 > 1]
+    assert not any(bad) and sum(good) >= 0.98 * len(good)
+    assert {r.doc_id for r in quality.keep_good(frame, labels).collect()} == {
+        r.doc_id for r in got if r.kept}
+
+
 def test_toxicity(spark, docs, none):
     rows = [(i, prose(i, 60) + (" vile" * (1 + i % 4) if i % 5 == 0 else "")) for i in range(200)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 150)],
