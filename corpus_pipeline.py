@@ -8,6 +8,8 @@ from encaje.llm import decontamination, minhash, packing, quality, secrets
 from encaje.llm.common import read
 from encaje.session import fresh_path
 
+NEAR_PERCENT = 80  # op8 alone has its own contract, 85
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
@@ -15,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return minhash.keep_one(docs)
+    """One document of each group of near duplicates, similarity 0.8 or more."""
+    return minhash.keep_one(docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,6 +297,20 @@ def test_minhash(spark, docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_stage_links_from_eighty_percent(spark):
+    import corpus_pipeline
+    words, far = prose(70, 204).split(), prose(70, 204).split()
+    far[10], far[60], far[110], far[160] = "w", "x", "y", "z"  # 180 of 220 shingles: 0.818
+    other = list(far)
+    other[185] = "v"  # 175 of 225 with the first: 0.778
+    for rows, stay in (([(1, words), (2, far)], {1}), ([(1, words), (3, other)], {1, 3})):
+        frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows],
+                                      "doc_id long, text string")
+        kept = corpus_pipeline.near_dedup(spark, frame, SF)
+        assert {r.doc_id for r in kept.collect()} == stay
+        assert all(r.kept for r in minhash.near_duplicates(frame).collect())
+
+
 def test_minhash_splits_large_groups(spark, monkeypatch):
     monkeypatch.setattr(minhash, "GROUP", 3)
     monkeypatch.setattr(minhash, "BLOCK", 2)
