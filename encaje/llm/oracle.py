@@ -132,10 +132,76 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 FROM docs LEFT JOIN cut USING (doc_id)"""
 
 
+def _trie() -> str:
+    return """
+WITH table_ AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b:
+    CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+  FROM range(256) AS r(i))),
+src AS (SELECT conv_id AS c, turn, coalesce(text, '') AS x,
+    sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, x, g, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM src),
+sizes AS (SELECT c, count(*) AS n FROM own GROUP BY c),
+hashed AS (SELECT c, n, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(
+    range(1, (length(c::VARCHAR) + 1)::BIGINT), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+    lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 6 AS h FROM sizes, table_),
+convs AS (SELECT a.c, a.h, a.base, least(a.h, coalesce(b.n, 0)) AS lead FROM hashed a LEFT JOIN sizes b
+  ON b.c = a.base),
+seq AS (SELECT v.c, o.pos, o.x, o.g FROM convs v JOIN own o ON o.c = v.base AND o.pos < v.h
+  UNION ALL SELECT o.c, o.pos - h + lead, o.x, o.g FROM own o JOIN convs USING (c) WHERE o.pos >= h),
+pre AS (SELECT c, pos + 1 AS d, length(x) AS len, string_agg(g, ',') OVER (PARTITION BY c ORDER BY pos) AS key
+  FROM seq UNION ALL SELECT c, 0, 0, '' FROM convs),
+node AS (SELECT d, key, min(c) AS conv, count(*) AS n, any_value(len) AS len FROM pre GROUP BY d, key),
+total AS (SELECT c, max(d) AS d FROM pre GROUP BY c),
+ends AS (SELECT d, key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS e
+  FROM pre JOIN total USING (c, d) GROUP BY d, key),
+linked AS (SELECT n.*, q.key AS pkey FROM node n LEFT JOIN pre q ON q.c = n.conv AND q.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, pkey AS key, count(*) AS k FROM linked WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT a.d, a.key, sum((u.n - 1) * u.len) AS saved, count(*) FILTER (k IS NULL) AS leaves
+  FROM linked u LEFT JOIN kids ON kids.d = u.d AND kids.key = u.key
+  JOIN pre a ON a.c = u.conv AND a.d <= u.d GROUP BY a.d, a.key)
+SELECT l.conv AS conv_id, l.d::BIGINT AS depth, p.conv AS parent_conv_id, l.n AS n_convs,
+  coalesce(k, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  coalesce(e, sha256('')) AS ends_sha256
+FROM linked l JOIN sums s ON s.d = l.d AND s.key = l.key LEFT JOIN kids c ON c.d = l.d AND c.key = l.key
+LEFT JOIN ends z ON z.d = l.d AND z.key = l.key LEFT JOIN node p ON p.d = l.d - 1 AND p.key = l.pkey"""
+
+
+def _codes() -> str:
+    assigned = """
+near{i} AS (SELECT rid, part, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+    SELECT rid, p.part, e, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))
+      ::BIGINT AS dist FROM parts p JOIN book{i} b ON p.part = b.part) GROUP BY rid, part)"""
+    moved = """
+book{j} AS (SELECT b.part, b.e, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN (
+    SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+      SELECT part, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM near{i} JOIN parts USING (rid, part),
+        range(1, (SELECT max(len(x)) + 1 FROM parts)) AS r(i) GROUP BY part, e, i) GROUP BY part, e) m
+  ON m.part = b.part AND m.e = b.e)"""
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT rid, vec_id, part, q[part * (len(q) // 16) + 1:(part + 1) * (len(q) // 16)] AS x
+  FROM kept, range(16) AS r(part)),
+book0 AS (SELECT part, rid - 1 AS e, x FROM parts WHERE rid <= 64),{assigned.format(i=0)},{moved.format(i=0, j=1)},
+{assigned.format(i=1)},{moved.format(i=1, j=2)},{assigned.format(i=2)},
+coded AS (SELECT rid, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY part) AS code,
+    sum(dist)::BIGINT AS error FROM near2 GROUP BY rid),
+all_ AS (SELECT string_agg(array_to_string(x, ','), ',' ORDER BY part, e) AS b FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  sha256(b) AS codebooks_sha256
+FROM kept JOIN coded USING (rid), all_"""
+
+
 ORACLE = {
     "op6_sharding": _sharding(),
     "op7_decontamination": _decontamination(),
     "op8_minhash": _minhash(),
     "op9_licenses": _licenses(),
     "op10_suffixes": _suffixes(),
+    "op11_trie": _trie(),
+    "op12_codes": _codes(),
 }

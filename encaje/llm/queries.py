@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from encaje.llm import (
-    decontamination, html, licenses, minhash, packing, quality, secrets, sharding, suffixes,
-    toxicity)
+    codes, decontamination, html, licenses, minhash, packing, quality, secrets, sharding, suffixes,
+    toxicity, trie)
 from encaje.llm.common import read
+from encaje.session import written
 
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -58,7 +60,19 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(read(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(written(coded, "vector-codes")).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error",
+        F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_quality, op3_toxicity, op4_html, op5_secrets, op6_sharding,
-        op7_decontamination, op8_minhash, op9_licenses, op10_suffixes)}
+        op7_decontamination, op8_minhash, op9_licenses, op10_suffixes,
+        op11_trie, op12_codes)}
