@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encaje.llm import (
-    codes, decontamination, html, licenses, minhash, packing, quality, secrets, sharding, suffixes,
+    codes, decontamination, html, licenses, lm, minhash, packing, quality, secrets, sharding, suffixes,
     toxicity, trie)
 from encaje.llm.common import read
 from encaje.session import written
@@ -71,8 +71,12 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_quality, op3_toxicity, op4_html, op5_secrets, op6_sharding,
         op7_decontamination, op8_minhash, op9_licenses, op10_suffixes,
-        op11_trie, op12_codes)}
+        op11_trie, op12_codes, op13_lm)}
