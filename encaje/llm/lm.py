@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from encaje.llm.common import fields, mix64, small_batches, texts
+from encaje.llm.common import fields, mix64, release, small_batches, texts
 from encaje.session import fresh_path, written
 
 END = b" "  # no word holds white space
@@ -40,6 +40,7 @@ START = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xD6E8FEB86659FD93)
 HELD_OUT = 2
 STEPS = 2  # grid cells per doubling of a ratio
+CELLS = 512  # grid cells a ratio can fall into
 
 
 @dataclass(frozen=True)
@@ -47,9 +48,9 @@ class Settings:
     """Order of the model and sizes of the work; none of them drops anything."""
 
     order: int = 2
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     block_rows: int = 1 << 16
-    task_keys: int = 4_000_000
+    task_keys: int = 1_500_000
     bucket_blocks: int = 4
     iterations: int = 60
 
@@ -76,38 +77,43 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 # --- one block --------------------------------------------------------------------------------------
 
-def n_gram_keys(words: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order the key of the n-gram that ends at a token; n-grams do not leave a document."""
-    keys = [words]
-    for _ in range(1, order):
-        before = np.empty_like(words)
-        before[1:] = keys[-1][:-1]
-        before[first] = START
-        keys.append(mix64(before * TURN + words))
-    return keys
-
-
 @dataclass
 class Block:
-    """Documents of a block: ids, part (0, 1; 2 is held out), first token, and word hash of each token."""
+    """Documents of a block: ids, part (0, 1; 2 is held out), tokens each, and word number of each token."""
 
     ids: list
     part: np.ndarray
     lens: np.ndarray
-    words: np.ndarray
+    tokens: np.ndarray
+    hashes: np.ndarray
 
     @classmethod
-    def of(cls, row: dict) -> Block:
-        return cls(row["ids"], np.frombuffer(row["part"], np.uint8), np.frombuffer(row["lens"], np.int32),
-                   np.frombuffer(row["hashes"], np.uint64)[unpack(row["tokens"], np.int32)])
+    def of(cls, table: pa.Table | pa.RecordBatch) -> Block:
+        """From the first row."""
+        def data(name: str) -> pa.Buffer:
+            return table[name][0].as_py()
+
+        return cls(table["ids"][0].as_py(), np.frombuffer(data("part"), np.uint8),
+                   np.frombuffer(data("lens"), np.int32), unpack(data("tokens"), np.int32),
+                   np.frombuffer(data("hashes"), np.uint64))
 
     @property
     def first(self) -> np.ndarray:
         return np.cumsum(self.lens) - self.lens
 
     def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(distinct keys, their place for each token) per order."""
-        for keys in n_gram_keys(self.words, self.first, order):
+        """(distinct keys, their place for each token) per order; n-grams do not leave a document."""
+        sort = np.argsort(self.hashes)
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        yield self.hashes[sort], place[self.tokens]
+        words, first = self.hashes[self.tokens], self.first
+        keys = words
+        for _ in range(1, order):
+            before = np.empty_like(words)
+            before[1:] = keys[:-1]
+            before[first] = START
+            keys = mix64(before * TURN + words)
             yield np.unique(keys, return_inverse=True)
 
 
@@ -169,6 +175,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_remainder: int,
         del words
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
         part = np.array(part, np.uint8)
+        held.clear()
         n = [int(lens[part == k].sum()) for k in (0, 1)] + [int((part == k).sum()) for k in (0, 1)]
         row = [number, ids, part.tobytes(), lens.tobytes(),
                pack(coded.indices.to_numpy().astype(np.int32)), hashes.tobytes(), *n]
@@ -187,6 +194,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_remainder: int,
                 if size >= to.block_bytes or len(ids) >= to.block_rows:
                     yield made(number, ids, part, held)
                     number, ids, part, held, size = number + 1, [], [], [], 0
+                    release()
         if ids:
             yield made(number, ids, part, held)
 
@@ -210,19 +218,22 @@ def requests(blocks: DataFrame, ranges: int, to: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.of(row)
+            for at_row in range(batch.num_rows):
+                row = batch.slice(at_row, 1)
+                block, number = Block.of(row), row["block"][0].as_py()
                 part = np.repeat(block.part, block.lens)
                 for level, (keys, at) in enumerate(block.levels(to.order)):
                     counts = [np.bincount(at[part == k], minlength=len(keys)).astype(np.uint32) for k in (0, 1)]
                     r = _range_of(keys, ranges)
                     starts = np.flatnonzero(np.diff(r, prepend=np.uint64(ranges)))
                     ends = np.append(starts[1:], len(r))
-                    rows = [(level, int(r[i]), row["block"], pack_sorted(keys[i:j]),
+                    rows = [(level, int(r[i]), number, pack_sorted(keys[i:j]),
                              pack(counts[0][i:j]), pack(counts[1][i:j])) for i, j in zip(starts, ends)]
                     for i in range(0, len(rows), 1024):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 1024]), arrow)], schema=arrow)
+                del row, block, part, keys, at, counts, rows
+                release()
 
     return blocks.select("block", "ids", "part", "lens", "tokens", "hashes").mapInArrow(run, _REQUEST)
 
@@ -255,7 +266,10 @@ def answers(asked: DataFrame) -> DataFrame:
             out.append((row["level"], row["r"], row["block"], pack(sums[0][mine]), pack(sums[1][mine]),
                         known if i == 0 else 0))
             at += n
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        made = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        del out, sums, group, rows, each
+        release()
+        return made
 
     return asked.groupBy("level", "r").applyInArrow(run, _ANSWER)
 
@@ -279,34 +293,35 @@ def grid(blocks: DataFrame, found: DataFrame, n: list[int], docs: list[int], v:
     """Held-out events of both parts, summed in cells of like ratios: (bucket, cell, weight, r1, r2, ...), the
     ratios being estimates over the uniform one. Cells per bucket are bounded by the range of counts."""
     ratios = [f"r{k}" for k in range(1, to.order + 1)]
-    spec = "bucket long, cell string, weight double, " + ", ".join(f"{r} double" for r in ratios)
+    spec = "bucket long, cell long, weight double, " + ", ".join(f"{r} double" for r in ratios)
     arrow = to_arrow_schema(fields(spec))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        block = Block.of(left.to_pylist()[0])
+        block = Block.of(left)
         counts = _counts(block, right, to.order)
         part = np.repeat(block.part, block.lens)
-        cells: dict[tuple, np.ndarray] = {}
+        cells: dict[int, np.ndarray] = {}
         for own, other in ((0, 1), (1, 0)):
             bucket, p = _estimates(counts[other], _context(counts[other], block, docs[other]), n[other], v)
             mine = part == own
             if not mine.any():
                 continue
             r = np.array([x[mine] / p[0][mine] for x in p[1:]])
-            cell = np.full(r.shape, -999, np.int64)
-            cell[r > 0] = np.floor(np.log2(r[r > 0]) * STEPS).astype(np.int64)
-            keys, at = np.unique(np.vstack([bucket[mine], cell]), axis=1, return_inverse=True)
-            at = at.ravel()
+            code = bucket[mine]
+            for x in r:  # no event of an order is cell 0
+                cell = np.zeros(len(x), np.int64)
+                cell[x > 0] = np.floor(np.log2(x[x > 0]) * STEPS).astype(np.int64) + CELLS // 2
+                code = code * CELLS + cell
+            keys, at = np.unique(code, return_inverse=True)
             sums = [np.bincount(at)] + [np.bincount(at, weights=x) for x in r]
-            for i in range(keys.shape[1]):
-                key = tuple(keys[:, i].tolist())
+            for i, key in enumerate(keys.tolist()):
                 cells[key] = cells.get(key, 0) + np.array([s[i] for s in sums], float)
         if not cells:
             return arrow.empty_table()
-        columns = [[k[0] for k in cells], [",".join(map(str, k[1:])) for k in cells],
-                   *np.array(list(cells.values())).T]
+        columns = [[k // CELLS ** to.order for k in cells], list(cells), *np.array(list(cells.values())).T]
+        release()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     events = _together(blocks, found, run, spec)
@@ -378,13 +393,15 @@ def score(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return arrow.empty_table()
-        block = Block.of(left.to_pylist()[0])
+        block = Block.of(left)
         counts = [x + y for x, y in zip(*_counts(block, right, order))]
         bucket, p = _estimates(counts, _context(counts, block, all_docs), all_n, v)
         mix = weights_of(bucket, weights)
         each = np.log10(sum(mix[:, k] * p[k] for k in range(order + 1)))
         base = np.log10((counts[0] + 1) / (all_n + v + 1))
         summed = [np.add.reduceat(x, block.first) for x in ((counts[0] > 0).astype(np.int64), base, each)]
+        del counts, bucket, p, mix, each, base
+        release()
         return pa.Table.from_arrays([
             pa.array(block.ids, arrow[0].type), pa.array(block.part == HELD_OUT),
             pa.array(block.lens.astype(np.int64)), pa.array(summed[0]),
