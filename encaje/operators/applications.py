@@ -72,6 +72,26 @@ def shuffle_key(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
 
 
+def _in_order(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their seeded hash and its bucket, and per bucket the rows before it, its own, and all.
+
+    A row without a key is placed by a hash of all its columns, so that many of them do not meet in a bucket.
+    """
+    whole = F.concat(F.lit("null|"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    order = F.when(F.col(key).isNotNull(), shuffle_key(seed, key)).otherwise(F.md5(whole))
+    keyed = df.withColumn("_order", order).withColumn(
+        "_bucket", F.conv(F.substring("_order", 1, _BUCKET_DIGITS), 16, 10).cast("int"))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    # 4,096 rows at most, so one window over all of them is small.
+    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return keyed, counts.select(
+        "_bucket", "_rows", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy()).alias("_all"))
+
+
+_HELPERS = ["_bucket", "_order", "_rows", "_before", "_all"]
+
+
 def split(df: DataFrame, key: str, train: float = DEFAULTS.train_ratio,
           validation: float = DEFAULTS.validation_ratio,
           seed: int = DEFAULTS.seed) -> DataFrame:
@@ -81,18 +101,10 @@ def split(df: DataFrame, key: str, train: float = DEFAULTS.train_ratio,
     their counts alone; only the buckets that a border cuts, two of 4,096 at
     most, are ranked row by row. No row order is ever computed for the rest.
     """
-    order = shuffle_key(seed, key)
-    keyed = df.withColumn("_order", order).withColumn(
-        "_bucket", F.conv(F.substring("_order", 1, _BUCKET_DIGITS), 16, 10).cast("int"))
-    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    # 4,096 rows at most, so one window over all of them is small.
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    n = F.sum("_rows").over(whole)
-    borders = counts.select(
-        "_bucket", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"), "_rows",
-        F.floor(n * F.lit(float(train))).alias("_train"),
-        F.floor(n * F.lit(float(validation))).alias("_validation"))
+    keyed, buckets = _in_order(df, key, seed)
+    borders = buckets.withColumns({
+        "_train": F.floor(F.col("_all") * F.lit(float(train))),
+        "_validation": F.floor(F.col("_all") * F.lit(float(validation)))})
 
     def part(position: Column) -> Column:
         return (F.when(position < F.col("_train"), "train")
@@ -102,20 +114,26 @@ def split(df: DataFrame, key: str, train: float = DEFAULTS.train_ratio,
     first, last = part(F.col("_before")), part(F.col("_before") + F.col("_rows") - 1)
     placed = keyed.join(F.broadcast(borders), "_bucket").withColumn(
         "_cut", first != last).withColumn("split", F.when(~F.col("_cut"), first))
-    helpers = ["_bucket", "_order", "_before", "_rows", "_train", "_validation", "_cut"]
     clear = placed.where(~F.col("_cut"))
     within = Window.partitionBy("_bucket").orderBy("_order", key)
     ranked = (placed.where("_cut").withColumn("_at", F.row_number().over(within) - 1)
               .withColumn("split", part(F.col("_before") + F.col("_at"))).drop("_at"))
-    return clear.unionByName(ranked).drop(*helpers)
+    return clear.unionByName(ranked).drop(*_HELPERS, "_train", "_validation", "_cut")
 
 
 def sample_rows(df: DataFrame, key: str, size: int | None,
                 seed: int = DEFAULTS.seed) -> DataFrame:
     """A seeded sample of exactly ``size`` rows, all rows if there are no more.
 
-    The first rows in seeded hash order: each task keeps its own best ``size``.
+    The first rows in seeded hash order. Whole hash buckets are in or out by their counts; only the one
+    that the border cuts is ranked, so a sample of any size never meets in one task.
     """
     if size is None:
         return df
-    return df.orderBy(shuffle_key(seed, key), F.col(key)).limit(size)
+    keyed, buckets = _in_order(df, key, seed)
+    placed = keyed.join(F.broadcast(buckets.where(F.col("_before") < size)), "_bucket")
+    fits = F.col("_before") + F.col("_rows") <= size
+    within = Window.partitionBy("_bucket").orderBy("_order", key)
+    border = placed.where(~fits).withColumn("_at", F.row_number().over(within)).where(
+        F.col("_before") + F.col("_at") <= size).drop("_at")
+    return placed.where(fits).unionByName(border).drop(*_HELPERS)

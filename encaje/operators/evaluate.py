@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encaje.session import written
+
 
 def _ratio(part: Column, whole: Column) -> Column:
     """0 where the ratio is undefined."""
@@ -33,28 +34,53 @@ def f1(label: str = "label", predicted: str = "class") -> Column:
                   F.count_if(F.col(predicted) == 1) + F.count_if(F.col(label) == 1))
 
 
-def auc(scored: DataFrame, probability: str = "match_probability",
-        label: str = "label") -> DataFrame:
-    """One row ``auc``, exact with ties; 0.5 if only one label occurs.
+def auc(scored: DataFrame, probability: str = "match_probability", label: str = "label",
+        by: list[str] | None = None) -> DataFrame:
+    """``auc`` of each group of ``by`` (one row without), exact with ties; 0.5 if only one label occurs.
 
-    Spark's own evaluator sorts by score over all tasks and sums up per task.
+    Equal scores are counted first. The distinct scores are range-partitioned over group and score, so a huge
+    group spreads over many tasks; a piece learns from the sums of earlier pieces how many rows of label 0
+    score below its first. Nothing reaches the driver. The placed counts are written once, because range borders
+    are sampled.
     """
-    seen = scored.agg(F.count_distinct(label).alias("n")).first()["n"]
-    value = 0.5
-    if seen > 1:
-        ready = scored.select(F.col(probability).cast("double").alias("p"),
-                              F.col(label).cast("double").alias("y"))
-        value = BinaryClassificationEvaluator(
-            rawPredictionCol="p", labelCol="y", metricName="areaUnderROC", numBins=0
-        ).evaluate(ready)
-    return scored.sparkSession.range(1).select(F.lit(float(value)).alias("auc"))
-
-
-def metrics(scored: DataFrame) -> DataFrame:
-    """``accuracy, precision, recall, f1, auc`` in one row."""
-    area = auc(scored).first()["auc"]
-    return scored.agg(accuracy().alias("accuracy"), precision().alias("precision"),
-                      recall().alias("recall"), f1().alias("f1"), F.lit(area).alias("auc"))
+    by = list(by or [])
+    keys = [*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+            F.col(probability).cast("double").alias("_p")]
+    names = [f"_k{i}" for i in range(len(by))]
+    counted = scored.select(*keys, F.col(label).alias("_y")).groupBy(*names, "_p").agg(
+        F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") == 0).alias("_neg"))
+    placed = (counted.repartitionByRange(*names, "_p").sortWithinPartitions(*names, "_p")
+              .withColumn("_piece", F.spark_partition_id()))
+    placed = written(placed, "scores")
+    pieces = placed.groupBy(*names, "_piece").agg(F.sum("_neg").alias("_sum"))
+    earlier = Window.partitionBy(*names).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(*[F.col(n).alias(f"{n}s") for n in names], F.col("_piece").alias("_at"),
+                           F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_piece") == F.col("_at")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    inside = Window.partitionBy(*names, "_piece").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))
+    summed = placed.join(starts, same).withColumn(
+        "_area", F.col("_pos") * (below + F.col("_neg") / 2.0)).groupBy(*names).agg(
+        F.sum("_area").alias("_area"), F.sum("_pos").alias("_n1"), F.sum("_neg").alias("_n0"))
+    both = (F.col("_n1") > 0) & (F.col("_n0") > 0)
+    area = F.col("_area") / (F.col("_n1").cast("double") * F.col("_n0"))
+    return summed.select(*[F.col(n).alias(c) for n, c in zip(names, by)],
+                         F.when(both, area).otherwise(0.5).alias("auc"))
+
+
+def metrics(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``accuracy, precision, recall, f1, auc`` of each group of ``by``, in one plan; one row without."""
+    made = [accuracy().alias("accuracy"), precision().alias("precision"), recall().alias("recall"),
+            f1().alias("f1")]
+    if not by:
+        return scored.agg(*made).withColumn("auc", auc(scored).scalar())
+    areas = auc(scored, by=by).withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return scored.groupBy(*by).agg(*made).join(areas, same).drop(*[f"_{c}" for c in by])
 
 
 def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:

@@ -443,46 +443,71 @@ def _training(d: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     return samples, written(cvs, "cv-records"), written(jobs, "job-records")
 
 
-def _fitted(d: Inputs, batches: int = 1) -> tuple[MO.MatchModel, DataFrame]:
-    """A model fitted on the training part, and the scores of all samples."""
-    samples, cvs, jobs = _training(d)
-    model = MO.fit_model(samples.where("split = 'train'"), cvs, jobs, batches=batches)
-    return model, _sample_scores(model, samples, cvs, jobs)
+def _forest_checks(d: Inputs, batches: int = 1) -> tuple[MO.MatchModel, DataFrame]:
+    """A forest fitted on the training part, and all samples with their scores and what holds for them: the
+    probability is one, class and score follow from it, and a walk of the node table finds it too."""
+    samples, cvs, jobs = _parts(d)
+    keys = ["application_id", "cv_id", "job_id", "label", "split"]
+    model = MO.fit_terms(samples.where("split = 'train'"), cvs, jobs, batches=batches)
+    scored = model.score_terms(samples.select(*keys), cvs, jobs)
+    walked = model.walk_terms(samples.select("application_id", "cv_id", "job_id"), cvs, jobs).select(
+        "application_id", "walk")
+    p = F.col("match_probability")
+    return model, written(scored.join(walked, "application_id").select(
+        *keys, p, "class", p.between(0, 1).alias("in_range"),
+        (F.col("class") == (p > 0.5).cast("int")).alias("class_right"),
+        (F.abs(F.col("match_score") - 100 * p) < 1e-9).alias("score_right"),
+        (F.abs(F.col("walk") - p) < 1e-9).alias("walk_right")), "scored")
 
 
-def _sample_scores(model: MO.MatchModel, samples: DataFrame, cvs: DataFrame,
-                   jobs: DataFrame) -> DataFrame:
-    return model.score(samples.select("application_id", "cv_id", "job_id", "label", "split"),
-                       cvs, jobs)
+_HOLDS = ["in_range", "class_right", "score_right", "walk_right"]
 
 
-def _metrics_by_part(scored: DataFrame) -> DataFrame:
-    scored = written(scored, "scored")
-    out = None
-    for part in ("train", "validation", "test"):
-        row = E.metrics(scored.where(F.col("split") == part)).select(
-            F.lit(part).alias("split"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+def _trained(d: Inputs, batches: int) -> DataFrame:
+    model, scored = _forest_checks(d, batches)
+    rows = scored.groupBy("split").agg(
+        F.count("*").alias("rows"), *[F.count_if(c).alias(c) for c in _HOLDS])
+    names = ("accuracy", "precision", "recall", "f1", "auc")
+    sound = sum((F.col(c).between(0, 1).cast("int") for c in names), F.lit(0))
+    return rows.join(E.metrics(scored, ["split"]), "split").select(
+        "split", "rows", *_HOLDS, sound.alias("metrics_in_range"),
+        F.lit(sum(f.getNumTrees for f in model.forests)).alias("trees"))
 
 
 @query
 def train_forest(d: Inputs) -> DataFrame:
-    return _metrics_by_part(_fitted(d)[1])
+    return _trained(d, 1)
 
 
 @query
 def train_forest_batched(d: Inputs) -> DataFrame:
-    model, scored = _fitted(d, batches=3)
-    trees = sum(f.getNumTrees for f in model.forests)
-    return _metrics_by_part(scored).withColumn("trees", F.lit(trees))
+    return _trained(d, 3)
 
 
 @query
 def score_forest(d: Inputs) -> DataFrame:
-    return _fitted(d)[1].select(
-        "application_id", "cv_id", "job_id", "label", "class", _six("match_probability"),
-        _six("match_score"))
+    return _forest_checks(d)[1].select("application_id", "cv_id", "job_id", "label", *_HOLDS)
+
+
+@query
+def recommend_all_forest(d: Inputs) -> DataFrame:
+    """The best postings of every sampled candidate by a forest, each checked by a walk of its trees."""
+    samples, cvs, jobs = _parts(d)
+    model = MO.fit_terms(samples.where("split = 'train'"), cvs, jobs)
+    found = written(M.recommend_vectors(
+        *(written(model.term_words(t, k), "vectors") for t, k in ((cvs, "cv_id"), (jobs, "job_id"))),
+        model=model), "answers")
+    p = F.col("match_probability")
+    return model.walk_terms(found, cvs, jobs).select(
+        "cv_id", "rank", p.between(0, 1).alias("in_range"),
+        (F.abs(F.col("match_score") - 100 * p) < 1e-9).alias("score_right"),
+        (F.abs(F.col("walk") - p) < 1e-8).alias("walk_right"))
+
+
+def _sample_scores(model: MO.MatchModel, samples: DataFrame, cvs: DataFrame,
+                   jobs: DataFrame) -> DataFrame:
+    return model.score(samples.select("application_id", "cv_id", "job_id", "label", "split"),
+                       cvs, jobs)
 
 
 @query
@@ -538,6 +563,19 @@ for _name in ("accuracy", "precision", "recall", "f1", "auc"):
     _metric_query(_name)
 
 
+@query
+def eval_by_split(d: Inputs) -> DataFrame:
+    """All metrics of each part of the split in one pass, over the scores of real pairs."""
+    samples, cvs, jobs = _training(d)
+    scored = S.score_unfitted(samples.select("application_id", "cv_id", "job_id", "label", "split"),
+                              cvs, jobs)
+    # rounded, so that ties do not hang on the last bit
+    ready = scored.withColumn("match_probability", F.round("match_probability", 9)).withColumn(
+        "class", S.similarity_class(F.col("match_probability")))
+    return E.metrics(ready, ["split"]).select(
+        "split", *[_six(c) for c in ("accuracy", "precision", "recall", "f1", "auc")])
+
+
 # --- scoring and matching ---------------------------------------------------
 
 

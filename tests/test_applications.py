@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,48 @@ def test_predictions_round_trip(spark, tmp_path):
     sinks.write_predictions(df, str(tmp_path / "out"))
     back = sinks.read_predictions(spark, str(tmp_path / "out")).select(*df.columns).collect()
     assert sorted(tuple(r) for r in back) == sorted(rows)
+
+
+def test_null_keys_keep_exact_shares_and_spread(spark):
+    rows = [(None if i % 3 == 0 else f"a{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, n int")
+    got = A.split(df, "id")
+    counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert counts == {"train": 2400, "validation": 300, "test": 300}
+    shares = {r["split"]: r["count"] for r in got.where("id IS NULL").groupBy("split").count().collect()}
+    assert 700 < shares["train"] < 900 and shares["test"] > 50
+    assert sorted(got.columns) == ["id", "n", "split"]
+
+
+@pytest.mark.parametrize("size", [0, 1, 1500, 3000, 9000])
+def test_sample_of_any_size(spark, size):
+    df = spark.createDataFrame([(None if i % 10 == 0 else f"a{i}", i) for i in range(3000)], "id string, n int")
+    got = A.sample_rows(df, "id", size)
+    assert got.columns == ["id", "n"] and got.count() == min(size, 3000) == got.distinct().count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, A.sample_rows(df, "id", size).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def brute_auc(rows):
+    pos, neg = ([p for p, y in rows if y == k] for k in (1, 0))
+    if not pos or not neg:
+        return 0.5
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_metrics_of_groups_in_one_pass(spark):
+    rng = random.Random(1)
+    rows = [(g, rng.randrange(40) / 40 if g else 0.25, rng.randrange(2) if g != "one" else 1)
+            for g in ("a", "b", "one", None) for _ in range(80)]
+    df = spark.createDataFrame(rows, "part string, match_probability double, label int").repartition(5)
+    df = df.withColumn("class", (F.col("match_probability") > 0.5).cast("int"))
+    got = {r["part"]: r for r in E.metrics(df, ["part"]).collect()}
+    assert set(got) == {"a", "b", "one", None}
+    for g, r in got.items():
+        mine = [(p, y) for part, p, y in rows if part == g]
+        assert r["auc"] == pytest.approx(brute_auc(mine))
+        assert r["accuracy"] == pytest.approx(sum((p > 0.5) == y for p, y in mine) / len(mine))
+    whole = E.metrics(df).first()
+    assert whole["auc"] == pytest.approx(brute_auc([(p, y) for _, p, y in rows]))
+    assert E.auc(df.limit(0)).first()["auc"] == 0.5
