@@ -25,7 +25,8 @@ from encaje.session import written
 
 SEQUENCE = 4096
 UNIT = 16  # width of a length class in tokens
-CACHE_WORDS, CACHE_CORES = 150_000, 300_000
+CACHE_BYTES = 64 << 20  # of words, and as much again of their cores
+ENTRY = 200  # bytes that an entry of a cache needs besides its ids
 SPLIT_CHARS = ".,!*%&$#;:?"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -42,10 +43,12 @@ class Encoder:
 
     White space always ends a token of this tokenizer, so a text's ids are those of its words
     in turn. A word that is plain letters and then punctuation is looked up in lower case and without
-    the punctuation: both parts are tokenized apart anyway. Caches are emptied when full.
+    the punctuation: both parts are tokenized apart anyway. Caches are emptied when they hold more
+    than ``cache_bytes``.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
+        self.most = cache_bytes // ENTRY
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -77,9 +80,9 @@ class Encoder:
                 at = end
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most:
             self.words = {"": b""}
-        if len(self.cores) > CACHE_CORES:
+        if len(self.cores) > self.most:
             self.cores = {"": b""}
         parts, odd = [], []
         for w in words:
@@ -108,7 +111,7 @@ class Encoder:
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
         new = set().union(*group).difference(self.words) if group else set()
         if new:
-            if len(self.words) > CACHE_WORDS:
+            if len(self.words) > self.most:
                 new = set().union(*group)
             self.learn(new)
         get = self.words.__getitem__
@@ -119,15 +122,15 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+    if path not in _ENCODERS or _ENCODERS[path].most != cache_bytes // ENTRY:
+        _ENCODERS[path] = Encoder(path, cache_bytes)
     return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Cut each document into full sequences and a rest; one row per piece."""
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = fields("start long, length long, ids_crc32 long, doc_tokens long")
@@ -135,7 +138,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
     close, width = np.array([end_id], dtype="<u4").tobytes(), 4 * sequence
 
     def cut(ids: pa.Array, text: pa.Array) -> Iterator[tuple]:
-        made = encoder(path).encode(strings(text))
+        made = encoder(path, cache_bytes).encode(strings(text))
         for doc_id, data in zip(ids.to_pylist(), made, strict=True):
             data += close
             for at in range(0, len(data), width):
@@ -167,6 +170,22 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with plain array steps: threaded linear algebra has been seen to stand
+    still beside a JVM."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        if pivot != k:
+            work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
 def patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a row each) and how often to use each, for ``demand[i]`` items of i + 1 units.
 
@@ -190,7 +209,7 @@ def patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.nda
         if value <= 1 + 1e-7:
             break
         column = pattern[use].astype(float)
-        turn = inverse @ column
+        turn = (inverse * column).sum(axis=1)
         ratio = np.where(turn > 1e-9, x / np.where(turn > 1e-9, turn, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -202,7 +221,7 @@ def patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.nda
         inverse -= np.outer(turn, row)
         inverse[out] = row
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
     shape, times = np.zeros((m, n), dtype=np.int64), np.floor(x + 1e-6).astype(np.int64)
     shape[:, use] = np.rint(basis.T).astype(np.int64)
     shape, times = shape[times > 0], times[times > 0]
@@ -229,7 +248,8 @@ def patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.nda
 
 
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, unit: int = UNIT,
-         end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
+         cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Every piece with its sequence and its place in it.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Only the histogram of
@@ -237,8 +257,8 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, uni
     """
     if sequence % unit:
         raise ValueError("sequence must be a multiple of unit")
-    cut = written(pieces(docs, path or tokenizer_path(), sequence, end_id, id_col, text_col),
-                  "pieces")
+    cut = written(pieces(docs, path or tokenizer_path(), sequence, end_id, id_col, text_col,
+                         cache_bytes), "pieces")
     cut = cut.withColumn("_class", F.floor((F.col("length") + unit - 1) / unit).cast("int") - 1)
     demand = np.zeros(sequence // unit, dtype=np.int64)
     for row in cut.groupBy("_class").count().collect():  # one row per class at most

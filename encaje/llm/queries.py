@@ -17,7 +17,7 @@ PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents")).select(*PIECE)
+    return packing.pack(read(spark, sf_dir, "documents"), cache_bytes=160 << 20).select(*PIECE)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
