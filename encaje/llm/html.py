@@ -6,7 +6,12 @@ below a kept parent and maximises the summed log-odds over the whole tree, so an
 descendants never contradict each other. The text of kept elements makes the blocks.
 
 Training labels come from pages that mark their article: its elements and their ancestors are main, all
-others are not. The features do not see the marking element itself.
+others are not. The features must not see the mark, or the trees would look for it alone: each training page
+is also learned from with its marking elements named as other containers, drawn by the page's id, and a mark
+counts as the tag div wherever it stands. Only elements that never hold prose (scripts, styles, form
+controls, the head) are dropped by name; formulas, captions and fallback texts are left to the trees.
+
+Rows with equal page_id are pages of their own; other columns are ignored. A null page is empty.
 """
 
 from __future__ import annotations
@@ -18,18 +23,19 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encaje.llm.common import bounded_sample, by_batch, fields, strings
+from encaje.session import written
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol "
     "p pre section summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template iframe svg math select option textarea button "
-                "head title object canvas audio video".split())
+RAW = frozenset("script style template iframe select option textarea button head title".split())
+NAMES = ("div", "section", "td", "div", "main", "span")  # what a marking element may be called instead
 CLOSES = {  # a start tag ends an open element of these kinds, up to the nearest of the stops
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -138,12 +144,19 @@ class Tree(HTMLParser):
 FEATURES = 12 + 2 * TOKENS
 
 
+def _tag_number(tag: str) -> int:
+    """Marks count as div, and what has no number (formulas, fallbacks) as an inline element."""
+    if tag == "#root" or tag in VOID:
+        return TAG_NUMBER.get(tag, 0)
+    return TAG_NUMBER["div" if tag in MARKERS else tag if tag in TAG_NUMBER else "span"]
+
+
 def features(tree: Tree) -> np.ndarray:
     """A row per element, the root included."""
     n = len(tree.nodes)
     parent = np.array([x.parent for x in tree.nodes])
     depth = np.array([x.depth for x in tree.nodes], dtype=float)
-    tag = np.array([0 if x.marked else TAG_NUMBER.get(x.tag, 0) for x in tree.nodes])
+    tag = np.array([_tag_number(x.tag) for x in tree.nodes])
     own, links = np.zeros(n), np.zeros(n)
     in_link = np.zeros(n, dtype=bool)
     tokens, above = np.zeros((n, TOKENS)), np.zeros((n, TOKENS))
@@ -258,12 +271,15 @@ class Boosted:
 
 def decode(tree: Tree, score: np.ndarray) -> np.ndarray:
     """Which elements are kept: the best sum of log-odds where nothing is kept under a dropped
-    parent. Elements that never hold prose are dropped."""
+    parent. Elements that never hold prose are dropped; a phrase inside a block that has no attributes
+    of its own (emphasis, a formula, a fallback) has no case against it and follows its parent."""
     n = len(tree.nodes)
     score = score.copy()
     for i, x in enumerate(tree.nodes):
         if x.tag in RAW:
             score[i] = -1e6
+        elif i and x.tag not in BLOCK and x.tag not in VOID and x.tag not in ("a", "html") and not x.tokens:
+            score[i] = max(score[i], 1e-6)
     keep, drop = score.copy(), -score
     for i in range(n - 1, 0, -1):
         p = tree.nodes[i].parent
@@ -312,22 +328,42 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     return out
 
 
+def renamed(tree: Tree, name: str) -> Tree:
+    """The same page with another tag on its marking elements."""
+    for node in tree.nodes:
+        if node.tag in MARKERS:
+            node.tag = name
+    return tree
+
+
 def fit(pages: DataFrame, settings: Settings = Settings()) -> Boosted:
     """Train on a bounded sample of the pages that mark an article; without such pages every element
-    is kept but those that never hold prose."""
-    sample = bounded_sample(pages.where("html IS NOT NULL").select("page_id", "html"),
-                            F.col("page_id"), settings.fit_pages)
-
-    def rows(html: pa.Array) -> list[list]:
+    is kept but those that never hold prose.
+
+    The sample is drawn over the ids alone; only its pages are read whole.
+    """
+    named = pages.where("html IS NOT NULL")
+    ids = written(bounded_sample(named.select("page_id"), F.col("page_id"), settings.fit_pages).distinct(),
+                  "fit-pages")  # at most fit_pages ids
+    sample = named.select("page_id", "html").join(
+        F.broadcast(ids), "page_id", "left_semi").withColumn("n", F.row_number().over(
+            Window.partitionBy("page_id").orderBy(F.xxhash64("html")))).where("n = 1")
+
+    def rows(page_id: pa.Array, html: pa.Array) -> list[list]:
         out: list[list] = [[], []]
-        for text in strings(html):
-            tree = Tree(text)
-            y = labels(tree)
-            out[0].append(features(tree).ravel().tolist() if y is not None else [])
-            out[1].append(y.tolist() if y is not None else [])
+        for i, text in zip(page_id.to_pylist(), strings(html)):
+            tree, x, y = Tree(text), [], []
+            found = labels(tree)
+            if found is not None:
+                draw = zlib.crc32(str(i).encode())
+                for name in (NAMES[draw % len(NAMES)], NAMES[draw // 8 % len(NAMES)]):
+                    x += features(renamed(Tree(text), name)).ravel().tolist()
+                    y += found.tolist()
+            out[0].append(x)
+            out[1].append(y)
         return out
 
-    got = by_batch(sample.repartition(8), ["html"], fields("x array<double>, y array<double>"),
+    got = by_batch(sample, ["page_id", "html"], fields("x array<double>, y array<double>"),
                    rows, keep=["page_id"]).collect()
     got = sorted((r for r in got if r["y"]), key=lambda r: str(r["page_id"]))
     x = np.array([v for r in got for v in r["x"]]).reshape(-1, FEATURES)
