@@ -112,7 +112,11 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN least_ USING (doc_id)""
 
 
 def _suffixes() -> str:
-    return """
+    def whole(piece: str) -> str:  # without the rests of parted characters at both ends
+        return (f"regexp_replace(regexp_replace({piece}, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|"
+                "E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '')")
+
+    return f"""
 WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 starts AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (
   SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM docs WHERE octet_length(b) >= 400)),
@@ -124,11 +128,15 @@ runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0
 spans AS (SELECT doc_id, r, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY doc_id, r),
 kept AS (SELECT doc_id, a, z, lag(z, 1, 1::BIGINT) OVER (PARTITION BY doc_id ORDER BY a) AS f FROM spans),
 cut AS (SELECT doc_id, sum(z - a) AS n, count(*) AS c, max(z) AS last,
-    string_agg(hex(array_slice(b, f, a - 1)), '' ORDER BY a) AS parts
+    string_agg(hex(array_slice(b, f, a - 1)), '' ORDER BY a) AS parts,
+    string_agg({whole("hex(array_slice(b, f, a - 1))")}, '' ORDER BY a) AS chars,
+    string_agg((a - 1)::VARCHAR || ':' || (z - 1)::VARCHAR, ',' ORDER BY a) AS spans
   FROM kept JOIN docs USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed,
   coalesce(c, 0)::BIGINT AS n_spans, sha256(CASE WHEN c IS NULL THEN b
-    ELSE unhex(parts || hex(array_slice(b, last, octet_length(b)))) END) AS kept_sha256
+    ELSE unhex(parts || hex(array_slice(b, last, octet_length(b)))) END) AS kept_sha256,
+  coalesce(spans, '') AS spans, decode(CASE WHEN c IS NULL THEN b
+    ELSE unhex(chars || {whole("hex(array_slice(b, last, octet_length(b)))")}) END) AS text
 FROM docs LEFT JOIN cut USING (doc_id)"""
 
 

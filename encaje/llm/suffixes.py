@@ -33,7 +33,7 @@ GRAM = 200
 CHUNK = 1 << 20
 SHARD_SYMBOLS = 2 << 20
 HOT_SEGMENTS = 20_000  # different segments of one gram that a shard takes
-BROADCAST_ROWS = 400_000  # narrow rows that may be broadcast after counting
+BROADCAST_BYTES = 24 << 20  # what may be broadcast, by counted rows and list entries
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 40, 1 << 62)) | 1
@@ -155,9 +155,15 @@ class Shard:
         return pd.DataFrame(out, columns=["seg", "low", "high"])
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only if the count allows it; else Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _few(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast only if the counted bytes allow it; else Spark shuffles both sides."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _bytes(df: DataFrame, row: int, entry: int, *lists: str) -> int:
+    """An upper estimate of a frame's bytes from its rows and the lengths of its lists."""
+    entries = sum((F.size(c) for c in lists), F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(F.lit(row) + entries * entry), F.lit(0)).alias("b")).first()["b"])
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -174,14 +180,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         "segments")
     each = found.where(F.size("fp") > 0).select("_key", F.explode(
         F.arrays_zip("fp", "first", "n", "q", "seg")).alias("s")).select("_key", "s.*")
-    distinct = written(
-        each.groupBy("fp", "seg").agg(
-            F.count(F.lit(1)).alias("times"),
-            F.min(F.struct("_key", "first", "n", "q")).alias("pick")), "distinct-segments")
+    distinct = each.groupBy("fp", "seg").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("_key", "first", "n", "q")).alias("pick"))
     grams = distinct.groupBy("fp").agg(
         F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds"),
         F.min("times").alias("least")).where("all > 1")
-    known = distinct.join(grams, "fp")
+    # most grams are alone: only those that meet are ever written
+    known = written(distinct.join(grams, "fp"), "meeting-segments")
     whole = known.where("times > 1").select(
         "seg", F.array(F.lit(0)).alias("low"), F.array(F.col("pick.n") - 1).alias("high"))
     # a gram whose segments all repeat whole needs no sorting
@@ -192,7 +197,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     shards = max(1, math.ceil(total["symbols"] / SHARD_SYMBOLS))
     wanted = open_.groupBy("_key").agg(F.collect_set(
         F.struct("fp", "seg", "times", "kinds", "first", "n", "q")).alias("w"))
-    sources = docs.join(_few(wanted, total["rows"]), "_key")
+    sources = docs.join(_few(wanted, 96 * total["rows"]), "_key")
 
     def extract(text: pa.Array, lists: pa.Array) -> Iterator[tuple]:
         for data, w in zip(texts(text), lists.to_pylist(), strict=True):
@@ -223,7 +228,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     single = decided.unionByName(counted).join(
         open_.where("times = 1").select("seg"), "seg", "left_semi")
     marks = written(whole.unionByName(single), "segment-marks")
-    ranges = each.select("_key", "seg", "first").join(_few(marks, marks.count()), "seg").select(
+    ranges = each.select("_key", "seg", "first").join(_few(marks, _bytes(marks, 64, 8, "low", "high")), "seg").select(
         "_key", F.explode(F.arrays_zip("low", "high")).alias("r"), "first").select(
             "_key", F.struct((F.col("first") + F.col("r.low")).alias("low"),
                              (F.col("first") + F.col("r.high") + length).alias("high"))
@@ -244,30 +249,31 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_SEGMENTS,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, text of every document.
 
-    Removed are all bytes of strings of ``length`` bytes that also start anywhere else.
+    Removed are all bytes of strings of ``length`` bytes that also start anywhere else. ``spans`` lists the
+    removed runs as start:end in bytes, ``text`` is what is left, without the rests of characters that a cut
+    parts.
     """
     docs = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("_key", row_key())
     found = written(spans(docs, length, gram, hot), "removals")
-    joined = docs.join(_few(found, found.count()), "_key", "left")
+    joined = docs.join(_few(found, _bytes(found, 64, 32, "ranges")), "_key", "left")
 
     def digest(text: pa.Array, ranges: pa.Array) -> list[list]:
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(6)]
         for data, r in zip(texts(text), ranges.to_pylist(), strict=True):
             runs = merged([(x["low"], x["high"]) for x in r]) if r else []
-            kept, at = hashlib.sha256(), 0
-            for a, b in runs:
-                kept.update(data[at:a])
-                at = b
-            kept.update(data[at:])
+            edges = [0, *(x for run in runs for x in run), len(data)]
+            kept = [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
             for o, x in zip(out, (len(data), sum(b - a for a, b in runs), len(runs),
-                                  kept.hexdigest()), strict=True):
+                                  hashlib.sha256(b"".join(kept)).hexdigest(),
+                                  ",".join(f"{a}:{b}" for a, b in runs),
+                                  "".join(k.decode("utf-8", "ignore") for k in kept)), strict=True):
                 o.append(x)
         return out
 
     return by_batch(joined, ["text", "ranges"], fields(
-        "n_bytes long, n_removed long, n_spans long, kept_sha256 string"), digest,
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, text string"), digest,
         keep=["doc_id"])
