@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encaje.llm.common import by_batch, fields, mix64, texts
@@ -116,14 +116,18 @@ def describe(text: pa.Array) -> list[list]:
     for i, k in zip(full, keys.tolist(), strict=True):
         bands[i] = k
     for s in sets:
-        digest = xxhash.xxh3_128_intdigest(s.tobytes())
-        out[0].append(len(s))
-        out[1].append((digest >> 64) - (1 << 63))
-        out[2].append((digest & ((1 << 64) - 1)) - (1 << 63))
+        for o, x in zip(out, (len(s), *hashes(s))):
+            o.append(x)
     out[3] = bands
     return out
 
 
+def hashes(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed numbers."""
+    digest = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
 def linked(a: np.ndarray, b: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes a and b that share so many shingles are linked."""
     return 100 * shared >= percent * (a + b - shared)
@@ -176,13 +180,22 @@ def walk(ids: list, sets: Sets, percent: int) -> Iterator[tuple]:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """id and set, as bytes, of the wanted ids."""
+    """id and set, as bytes, of the wanted classes (id, doc_id, h1, h2), each from the text of one of its
+    documents; another text under the same doc_id has other hashes and is left out."""
     if rows <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    found = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-    return by_batch(found, ["text"], fields("set binary, n long"), lambda t: list(zip(*[
-        (s.tobytes(), len(s)) for s in map(shingles, texts(t))])) or [[], []],
-        keep=["doc_id"]).withColumnRenamed("doc_id", "id").dropDuplicates(["id"])
+    found = docs.join(wanted.select("doc_id", "id", "h1", "h2"), "doc_id")
+
+    def run(text: pa.Array) -> list[list]:
+        out: list[list] = [[], [], [], []]
+        for s in map(shingles, texts(text)):
+            for o, x in zip(out, (s.tobytes(), len(s), *hashes(s)), strict=True):
+                o.append(x)
+        return out
+
+    made = by_batch(found, ["text"], fields("set binary, n long, s1 long, s2 long"), run,
+                    keep=["id", "h1", "h2"])
+    return made.where("h1 = s1 AND h2 = s2").select("id", "set", "n").dropDuplicates(["id"])
 
 
 def _walk_groups(pairs: DataFrame, percent: int) -> DataFrame:
@@ -242,10 +255,20 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("component", "id").alias("component"))
 
 
-def classes(described: DataFrame) -> DataFrame:
-    """Texts with equal sets: the least id, their hashes and band keys."""
-    return described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
-        "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+def class_id(salt: int) -> Column:
+    """The number of a class, from the hashes of its set."""
+    return F.xxhash64("h1", "h2", F.lit(salt))
+
+
+def classes(described: DataFrame) -> tuple[DataFrame, int]:
+    """Texts with equal sets (id, h1, h2, doc_id, bands), and the salt of their ids. ``doc_id`` is the
+    least of the class; a salt that gives two classes one id is not taken."""
+    found = written(described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
+    salt = 0
+    while not found.groupBy(class_id(salt)).count().where("count > 1").isEmpty():
+        salt += 1
+    return found.withColumn("id", class_id(salt)), salt
 
 
 def bands_of(reps: DataFrame) -> DataFrame:
@@ -259,13 +282,13 @@ def bands_of(reps: DataFrame) -> DataFrame:
     return each.join(once.select("key", "lead"), "key")
 
 
-def links(docs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, component) of all classes that are linked with another."""
-    members = written(bands_of(written(classes(described), "classes")), "bands")
+    members = written(bands_of(reps), "bands")
     lead = members.groupBy("id").agg(F.min("lead").alias("lead"))
     lead = written(lead.withColumn("lead", F.least("lead", "id")), "leads")
     rows = lead.count()
-    sets = written(sets_of(docs, lead.select("id"), rows), "sets")
+    sets = written(sets_of(docs, reps.join(lead.select("id"), "id", "left_semi"), rows), "sets")
     parts = lead.groupBy("lead").agg(
         F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("parts"))
     placed = lead.join(parts, "lead").withColumn(
@@ -303,23 +326,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     described = written(by_batch(
         docs, ["text"], fields("n_shingles long, h1 long, h2 long, bands array<long>"), describe,
         keep=["doc_id"]), "signatures")
-    rep = classes(described).select("h1", "h2", "id")
-    found = links(docs, described, percent)
-    # a document belongs to its class, a class to its component; equal ids tie classes together
-    own = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).join(
-        rep, ["h1", "h2"]).select("doc_id", "id").distinct()
+    reps, salt = classes(described)
+    found = links(docs, reps, percent)
+    # a document's class follows from its hashes; equal ids tie classes together
+    own = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", class_id(salt).alias("id"))
     placed = _labelled(own, found)
-    again = placed.groupBy("doc_id").agg(F.min("component").alias("lo"),
-                                         F.max("component").alias("hi"))
-    split = again.where("lo <> hi")
+    split = placed.groupBy("doc_id").agg(F.min("component").alias("lo"),
+                                         F.max("component").alias("hi")).where("lo <> hi")
     if not split.isEmpty():
-        tied = placed.join(split.select("doc_id"), "doc_id").select(
-            F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        joined = components(found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-                            .unionByName(tied))
-        again = _labelled(own, joined).groupBy("doc_id").agg(F.min("component").alias("lo"))
-    out = described.select("doc_id", "n_shingles").join(
-        again.select("doc_id", F.col("lo").alias("component_id")), "doc_id", "left")
+        tied = placed.join(split.select("doc_id", "lo"), "doc_id").select(
+            F.col("lo").alias("a"), F.col("component").alias("b"))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                           .unionByName(tied))
+        placed = _labelled(own, found)
+    placed = written(placed.groupBy("doc_id").agg(F.min("component").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    again = placed.join(least, "component").select("doc_id", "component_id")
+    out = described.select("doc_id", "n_shingles").join(again, "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True))
@@ -327,8 +351,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents with their columns, one of each component; of repeated ids one row stays."""
+    """The documents with their columns, one of each component; of rows with one id that stays whose
+    columns have the least hash. Texts are shuffled only if an id is repeated."""
     gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    unnamed = left.where(F.col("doc_id").isNull())
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(unnamed)
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    repeated = left.join(again.select("doc_id"), "doc_id", "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = repeated.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row")).select("_row.*")
+    return left.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(one)
