@@ -33,7 +33,7 @@ GRAM = 200
 CHUNK = 1 << 20
 SHARD_SYMBOLS = 2 << 20
 HOT_SEGMENTS = 20_000  # different segments of one gram that a shard takes
-BROADCAST_BYTES = 24 << 20  # what may be broadcast, by counted rows and list entries
+BROADCAST_BYTES = 128 << 20  # what may be broadcast, by counted rows and list entries
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 40, 1 << 62)) | 1
@@ -180,12 +180,14 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         "segments")
     each = found.where(F.size("fp") > 0).select("_key", F.explode(
         F.arrays_zip("fp", "first", "n", "q", "seg")).alias("s")).select("_key", "s.*")
-    distinct = each.groupBy("fp", "seg").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct("_key", "first", "n", "q")).alias("pick"))
+    distinct = written(
+        each.groupBy("fp", "seg").agg(
+            F.count(F.lit(1)).alias("times"),
+            F.min(F.struct("_key", "first", "n", "q")).alias("pick")), "distinct-segments")
     grams = distinct.groupBy("fp").agg(
         F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds"),
         F.min("times").alias("least")).where("all > 1")
-    # most grams are alone: only those that meet are ever written
+    # most grams are alone: those that meet are written, as they are read twice
     known = written(distinct.join(grams, "fp"), "meeting-segments")
     whole = known.where("times > 1").select(
         "seg", F.array(F.lit(0)).alias("low"), F.array(F.col("pick.n") - 1).alias("high"))
