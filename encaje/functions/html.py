@@ -28,6 +28,9 @@ _TOKEN = (
 _CLASS = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _ENTITY = r"&#[xX]?[0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|[^&]+|&"
 
+_COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "middot", "ndash", "mdash", "hellip", "eacute",
+           "aacute", "iacute", "oacute", "uacute", "ntilde", "euro", "laquo", "raquo")
+
 OPEN, CLOSE, SINGLE, TEXT, OTHER = 1, -1, 2, 0, 9
 
 
@@ -58,6 +61,8 @@ def _constant_map(entries: dict) -> Column:
 def unescape(c: Column) -> Column:
     """Decode character references; unknown names stay, without their semicolon."""
     names = _constant_map({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+    # a map is searched entry by entry, so the few names that pages use come first
+    common = _constant_map({k: html5[f"{k};"] for k in _COMMON})
     windows = _constant_map(_windows_1252())
 
     def decode(p: Column) -> Column:
@@ -66,10 +71,12 @@ def unescape(c: Column) -> Column:
         hexes = F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]{1,7});?$", 1)
         number = F.when(digits != "", F.try_to_number(digits, F.lit("999999999")).cast("bigint")
                         ).when(hexes != "", F.conv(hexes, 16, 10).cast("bigint"))
-        named = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
+        named = F.coalesce(F.try_element_at(common, name), F.try_element_at(names, name),
+                           F.concat(F.lit("&"), name))
         numbered = F.coalesce(F.try_element_at(windows, number.cast("string")),
                               _from_codepoint(number))
-        return (F.when(number.isNotNull(), numbered)
+        return (F.when(~F.startswith(p, F.lit("&")), p)
+                .when(number.isNotNull(), numbered)
                 .when(name != "", named)
                 .otherwise(p))
 

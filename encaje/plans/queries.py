@@ -17,7 +17,7 @@ from encaje.operators import (
 from encaje.plans.views import Inputs
 from encaje.session import fresh_path, written
 from encaje.settings import DEFAULTS
-from encaje.sources import corpora, models, sinks
+from encaje.sources import corpora, models, prepared, sinks
 from encaje.streaming import recommend as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,6 +655,33 @@ def topk_cvs_for_job(d: Inputs) -> DataFrame:
     return _matches(M.match_cvs(ONE_JOB, d.jobs, d.cvs, ids, k=10))
 
 
+def _prepared(d: Inputs) -> tuple[str, str]:
+    """Both corpora prepared: first without every seventh document, then brought up to date."""
+    paths = []
+    for corpus, key in ((d.cvs, "cv_id"), (d.jobs, "job_id")):
+        path = fresh_path(d.spark, "prepared")
+        prepared.refresh(corpus.where(F.crc32(F.encode(key, "utf-8")) % 7 != 0), path, key)
+        prepared.refresh(corpus, path, key)
+        paths.append(path)
+    return paths[0], paths[1]
+
+
+@query
+def topk_jobs_prepared(d: Inputs) -> DataFrame:
+    cvs, jobs = _prepared(d)
+    ids = A.ids_in_use(A.renamed(d.applications), "job_id")
+    return _matches(M.match_vectors(prepared.lookup(d.spark, cvs, [ONE_CV]), prepared.load(d.spark, jobs),
+                                    "cv_id", "job_id", 10, ids))
+
+
+@query
+def topk_cvs_prepared(d: Inputs) -> DataFrame:
+    cvs, jobs = _prepared(d)
+    ids = A.ids_in_use(A.renamed(d.applications), "cv_id")
+    return _matches(M.match_vectors(prepared.lookup(d.spark, jobs, [ONE_JOB]), prepared.load(d.spark, cvs),
+                                    "job_id", "cv_id", 10, ids))
+
+
 @query
 def recommend_jobs(d: Inputs) -> DataFrame:
     return _matches(M.recommend_jobs(ONE_CV, d.cvs, d.jobs))
