@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encaje.llm.common import by_batch, fields, mix64, texts
@@ -255,20 +255,17 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("component", "id").alias("component"))
 
 
-def class_id(salt: int) -> Column:
-    """The number of a class, from the hashes of its set."""
-    return F.xxhash64("h1", "h2", F.lit(salt))
-
-
-def classes(described: DataFrame) -> tuple[DataFrame, int]:
-    """Texts with equal sets (id, h1, h2, doc_id, bands), and the salt of their ids. ``doc_id`` is the
-    least of the class; a salt that gives two classes one id is not taken."""
-    found = written(described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
-        "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
-    salt = 0
-    while not found.groupBy(class_id(salt)).count().where("count > 1").isEmpty():
-        salt += 1
-    return found.withColumn("id", class_id(salt)), salt
+def classes(described: DataFrame) -> DataFrame:
+    """Texts with equal sets (id, h1, h2, doc_id, bands). ``doc_id`` is the least of the class and its id; if
+    texts of one document make several classes, all but the first have a hash as id."""
+    found = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).groupBy(
+        "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    first = found.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("_first"))
+    kind = described.schema["doc_id"].dataType
+    other = F.xxhash64("h1", "h2").try_cast(kind)
+    return found.join(first, "doc_id").select(
+        F.when(F.struct("h1", "h2") == F.col("_first"), F.col("doc_id")).otherwise(
+            F.coalesce(other, F.col("doc_id"))).alias("id"), "h1", "h2", "doc_id", "bands")
 
 
 def bands_of(reps: DataFrame) -> DataFrame:
@@ -326,11 +323,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     described = written(by_batch(
         docs, ["text"], fields("n_shingles long, h1 long, h2 long, bands array<long>"), describe,
         keep=["doc_id"]), "signatures")
-    reps, salt = classes(described)
+    reps = written(classes(described), "classes")
     found = links(docs, reps, percent)
-    # a document's class follows from its hashes; equal ids tie classes together
-    own = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).select(
-        "doc_id", class_id(salt).alias("id"))
+    # a document belongs to its class, a class to its component; equal ids tie classes together
+    own = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).join(
+        reps.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id").distinct()
     placed = _labelled(own, found)
     split = placed.groupBy("doc_id").agg(F.min("component").alias("lo"),
                                          F.max("component").alias("hi")).where("lo <> hi")
