@@ -1,7 +1,9 @@
 """The operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -237,6 +239,68 @@ def test_secrets(spark, docs, none):
     assert secrets.find(none).count() == 0
 
 
+BASE = [("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24)]
+
+
+def test_secret_patterns_equal_brute_force(spark):
+    cases = ["API-KEY=abcdef apikey = 'Zq+/_.=-9' Api_Key:\"xyz123\"", "password=secret=token:abcdef12",
+             "token='YWJjZGVmZ2g=' SECRET : hunter22, passwd=abc", "AKIA" + "Z" * 15 + " AKIA" + "9" * 16,
+             "AKIAAKIA" + "Q" * 20 + "a", "0" * 23 + "g" + "f" * 24 + "F" + "a1" * 40, "\u00e9\U0001f600 token=" + "ab12" * 8,
+             "secret\t=abcdefg secret=  abcdefg token\"  :'abcdef'", "pa\u017fsword=abcdef to\u212aen=abcdef",
+             "password=AKIA" + "B" * 16 + "c0ffee" * 5, "x" * 5000 + "token:" + "d" * 5000, "", " \n "]
+    cases += [prose(i, 30) + f" Token = {'0a' * i} {prose(i + 1, 5)}" for i in range(30)]
+    got = {r.doc_id: r for r in secrets.find(
+        spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(cases):
+        spans = []
+        for kind, (name, pattern, least) in enumerate(BASE):
+            flags = re.ASCII | re.IGNORECASE if name == "assign" else re.ASCII
+            spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, flags) if len(m[1]) >= least]
+        spans.sort()
+        line = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans)
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest(), text
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert set(filter(None, line.split(","))) <= set(got[i].spans.split(","))
+
+
+ORDINARY = """internationalisation_of_things getElementByIdentifierName MAX_CONNECTION_TIMEOUT_SECONDS
+XMLHttpRequestFactoryBean org/apache/spark/sql/functions AbstractSingletonProxyFactoryBean customer_address_line_2
+user_profile_image_url_https background-position-horizontal static/images/banner/top_left_2020
+DEFAULT_BUFFER_SIZE_IN_BYTES convertUtf8StringToBytes isAuthenticatedWithOAuth2 numberOfRetriesBeforeFailure
+max_pool2d_with_indices_backward test_parse_iso8601_timestamp application/x-www-form-urlencoded
+Donaudampfschifffahrtsgesellschaft anticonstitutionnellement electroencefalografista 2024-01-15T10-20-30
+usr/local/share/applications src/main/java/com/example/App node_modules/lodash/fp/convert getUserByEmailAddress2
+HttpServletRequestWrapper spark-sql-kafka-0-10_2-12 feature/ABC-1234-add-login-page vgg16_imagenet_weights
+convolution_layer_3x3_relu ConcurrentModificationException 4111111111111111 19216801001921680100 20240115102030123456
+on_button_clicked_listener --------------------- ==================== ________________ aaaaaaaaaaaaaaaaaaaa LC_MESSAGES_DIRECTORY I18nResourceBundleMessageSource
+kubernetes-dashboard-settings parseJSONFromHTTPResponse SELECT_FOR_UPDATE_NOWAIT incomprehensibilities
+misunderstandings-about counterrevolutionaries responsabilidades-profesionales ftp/pub/linux/kernel/v5
+build-2023-11-05-nightly utf8_general_ci_default col-md-offset-2-col-sm org_springframework_context""".split()
+
+
+def test_markov_models_find_held_out_strings(spark):
+    """Random strings of several alphabets that no pattern knows, and identifiers: none was trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.fit(docs, secrets.prepare(docs))
+    draw = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    for alphabet in (letters, letters + "+/", string.ascii_lowercase + string.digits, "0123456789ABCDEF"):
+        for size in (16, 20, 24, 32, 40):
+            hits = sum(model.secret("".join(draw.choices(alphabet, k=size))) for _ in range(300))
+            assert hits >= 0.9 * 300, (alphabet, size, hits)
+    assert len(ORDINARY) >= 50 and [x for x in ORDINARY if model.secret(x)] == []
+
+
+def test_a_copied_unknown_secret_is_found(spark):
+    """A secret that no pattern knows, in a third of all documents, doesn't teach that it is ordinary."""
+    key = "Zr8QmT2xVb5LwK9pYd3H"
+    rows = [(i, f"{prose(i, 60)} token: {hashlib.sha1(str(i).encode()).hexdigest()} {key if i % 3 == 0 else ''} "
+             f"{ORDINARY[i % len(ORDINARY)]}") for i in range(300)]
+    got = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.n_markov == (r.doc_id % 3 == 0) for r in got)
+
+
 def test_sharding(docs, none):
     rows = sharding.placement(docs, (1.0, 2.0, 1.0)).collect()
     assert len(rows) == len(ODD)
