@@ -488,7 +488,7 @@ def test_induced_sorting_against_brute_force():
 def test_pipeline_and_registry(spark):
     import __spark_entry__ as entry
     import corpus_pipeline
-    assert len([n for n in entry.queries() if re.match(r"op\d+_", n)]) == 10
+    assert len([n for n in entry.queries() if re.match(r"op\d+_", n)]) == 13
     packed = corpus_pipeline.run(spark, SF)
     stages = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
