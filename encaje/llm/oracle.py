@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from encaje.llm.licenses import LEAST, TEMPLATES, bigrams
+from encaje.llm.licenses import LEAST, TEMPLATES, bigrams, fewest_shared, words_of
 from encaje.llm.sharding import SHARDS
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,25 +43,42 @@ FROM sized"""
 
 
 def _licenses() -> str:
-    rows = ", ".join("('{}', ['{}'])".format(n, "', '".join(bigrams(t))) for n, t in TEMPLATES)
+    rows = ", ".join("('{}', ['{}'], {}, {})".format(
+        n, "', '".join(bigrams(t)), len(words_of(t)) - 1, fewest_shared(len(bigrams(t)), LEAST))
+        for n, t in TEMPLATES)
     return f"""
-WITH templates AS (SELECT * FROM (VALUES {rows}) AS t(license, grams)),
-units AS (SELECT DISTINCT text, unnest(list_distinct(list_concat([text],
-    string_split_regex(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10))))) AS unit
-  FROM (SELECT coalesce(text, '') AS text FROM documents)),
-worded AS (SELECT text, unit, list_filter(string_split_regex(translate(unit,
+WITH templates AS (SELECT row_number() OVER () AS t, * FROM (VALUES {rows}) AS v(license, grams, length, need)),
+texts AS (SELECT row_number() OVER () AS x, text FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
+units AS (SELECT x, false AS whole, unnest(list_concat(string_split_regex(text, '\\n[ \\t\\r]*\\n'),
+    string_split(text, chr(10)))) AS unit FROM texts
+  UNION ALL SELECT x, true, text FROM texts),
+worded AS (SELECT x, whole, list_filter(string_split_regex(translate(unit,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '') AS w
   FROM units),
-listed AS (SELECT DISTINCT text, unit, list_sort(list_distinct(list_transform(
-    range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]))) AS g
+paired AS (SELECT x, whole, list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]) AS p
   FROM worded WHERE len(w) >= 2),
-found AS (SELECT text, unit, license, t.grams,
-    2.0::DOUBLE * len(list_intersect(g, t.grams)) / (len(g) + len(t.grams))::DOUBLE AS dice
-  FROM listed, templates t
-  WHERE len(g) BETWEEN len(t.grams) * 0.5 AND len(t.grams) * 2.0),
-kept AS (SELECT * FROM found WHERE dice >= {LEAST}::DOUBLE),
+placed AS (SELECT x, unnest(p) AS gram, unnest(range(len(p)::BIGINT)) AS i FROM paired WHERE whole),
+hits AS (SELECT x, t, i, length, lead(i, need - 1) OVER (PARTITION BY x, t ORDER BY i) AS till
+  FROM placed JOIN (SELECT t, length, need, unnest(grams) AS gram FROM templates) USING (gram)),
+moved AS (SELECT h.x, h.t, i, h.length, p[i + 1:i + h.length] AS p,
+    len(list_intersect(p[i + 1:i + h.length], m.grams)) AS n, need
+  FROM hits h JOIN paired q ON q.x = h.x AND whole JOIN templates m ON m.t = h.t WHERE till - i < h.length),
+dense AS (SELECT * FROM moved WHERE n >= need),
+grams AS (SELECT x, p FROM paired
+  UNION ALL SELECT x, p FROM dense c WHERE NOT EXISTS (SELECT 1 FROM dense q WHERE q.x = c.x AND q.t = c.t
+    AND abs(q.i - c.i) < c.length AND (q.n > c.n OR q.n = c.n AND q.i < c.i))),
+listed AS (SELECT DISTINCT x, list_filter(p, lambda g, k: list_position(p, g) = k) AS g FROM grams
+  WHERE len(p) <= 400),
+long_ AS (SELECT DISTINCT x, list_distinct(p) AS g FROM grams WHERE len(p) > 400),
+found AS (SELECT x, row_number() OVER () AS u, g FROM (SELECT * FROM listed UNION ALL SELECT * FROM long_)),
+scored AS (SELECT x, u, g, 2.0::DOUBLE * len(list_intersect(g, t.grams)) / (len(g) + len(t.grams))::DOUBLE AS dice,
+    license FROM found, templates t WHERE len(g) BETWEEN len(t.grams) * 0.5 AND len(t.grams) * 2.0),
+named AS (SELECT x, u, any_value(g) AS g, max(dice) AS dice, arg_max(license, (dice, license)) AS license
+  FROM scored GROUP BY x, u HAVING max(dice) >= {LEAST}::DOUBLE),
+kept AS (SELECT * FROM named m WHERE NOT EXISTS (SELECT 1 FROM named o WHERE o.x = m.x AND o.dice > m.dice
+  AND o.license <> m.license AND len(list_intersect(m.g, o.g)) = len(m.g))),
 best AS (SELECT text, count(*) AS n_matches, list_sort(list_distinct(list(license))) AS l,
-    arg_max(license, (dice, license)) AS best, max(dice) AS dice FROM kept GROUP BY text)
+    arg_max(license, (dice, license)) AS best, max(dice) AS dice FROM kept JOIN texts USING (x) GROUP BY text)
 SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches,
   coalesce(array_to_string(l, ','), '') AS licenses, best, dice
 FROM documents d LEFT JOIN best ON coalesce(d.text, '') = best.text"""

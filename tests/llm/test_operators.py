@@ -435,7 +435,7 @@ def test_minhash_splits_large_groups(spark, monkeypatch):
 
 
 def test_licenses(spark, docs, none):
-    rows = [(1, "Intro text\nReleased under the MIT License.\nend"), (2, licenses.TEMPLATES[11][1]),
+    rows = [(1, "Intro text\nReleased under the MIT License.\nend"), (2, "Released under the MIT License."),
             (3, "released  under THE mit license"), (4, "Released quickly"), (5, None)]
     got = {r.doc_id: r for r in licenses.scan(
         spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -444,6 +444,52 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+def brute_licenses(text):
+    """Every window and unit against every template, without any pruning."""
+    def pairs(t):
+        w = re.findall("[a-z0-9]+", t.lower())
+        return list(zip(w, w[1:]))
+
+    table = [(n, pairs(t)) for n, t in licenses.TEMPLATES]
+    p = pairs(text)
+    units = {tuple(dict.fromkeys(pairs(u))) for u in [text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")]}
+    for _, t in table:
+        n = {i: len(set(p[i:i + len(t)]) & set(t)) for i in range(len(p)) if p[i] in t}
+        n = {i: k for i, k in n.items() if k >= licenses.fewest_shared(len(set(t)), 0.8)}
+        units |= {tuple(dict.fromkeys(p[i:i + len(t)])) for i in n if (n[i], -i) == max(
+            (n[j], -j) for j in n if abs(i - j) < len(t))}
+    best = [(*max((2 * len(set(u) & set(t)) / (len(u) + len(set(t))), n) for n, t in table), set(u)) for u in units if u]
+    best = [b for b in best if b[0] >= 0.8]
+    best = [b[:2] for b in best if not any(o[0] > b[0] and o[1] != b[1] and b[2] <= o[2] for o in best)]
+    return len(best), ",".join(sorted({n for _, n in best})), *(max(best)[::-1] if best else (None, None))
+
+
+def test_licenses_in_lines_and_headers(spark):
+    by = {}
+    for name, t in licenses.STATEMENTS:
+        by[name] = t  # the last one
+    wrapped = "\n".join(" * " + " ".join(by["gpl-3.0"].split()[i:i + 7]) for i in range(0, 60, 7))
+    cases = {
+        "mit": "Copyright 2020 X. Released under the MIT License. " + prose(1, 80),
+        "gpl-3.0": "/*\n" + wrapped + "\n */\nint main() { return 0; }\n" + prose(2, 60),
+        "gpl-2.0": prose(3, 30) + " " + dict(licenses.STATEMENTS)["gpl-2.0"] + " " + prose(4, 30),
+        "lgpl-2.1": "// " + by["lgpl-2.1"].replace("Software", "Software\n// "),
+        "bsd-3-clause": "3. " + by["bsd-3-clause"] + " " + prose(5, 20),
+        "agpl-3.0": "# SPDX-License-Identifier: AGPL-3.0-or-later\nimport os\n" + prose(6, 10),
+        "cc0-1.0": prose(7, 9) + " " + by["cc0-1.0"].replace("worldwide", "everywhere"),
+        "": prose(8, 300) + " a license to use the software under the terms of the shop " + prose(9, 50)}
+    rows = list(enumerate(cases.values())) + [(99, "the license " * 3000), (100, "MIT License. Released under the " * 60)]
+    got = {r.doc_id: r for r in licenses.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, text) in enumerate(cases.items()):
+        assert got[i].licenses == name, (name, got[i])
+    for i, text in rows:
+        if i != 99:
+            assert tuple(got[i])[1:] == pytest.approx(brute_licenses(text)), i
+    assert got[99].n_matches == 0
+
+
+
 @pytest.mark.parametrize("hot", [suffixes.HOT_SEGMENTS, 1])
 def test_suffixes(spark, docs, none, hot):
     length, gram = 60, 25
