@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encaje.llm.common import by_batch, fields, mix64, texts
+from encaje.llm.common import by_batch, fields, fresh, mix64, texts
 from encaje.llm.components import components
 from encaje.session import written
 
@@ -37,6 +37,7 @@ PERCENT = 85
 GROUP = 512  # classes that one task compares at once
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast after counting
+SALTS = 64  # parts of the rows of one key in a join
 CACHE_WORDS = 150_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(8)
@@ -255,6 +256,18 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("component", "id").alias("component"))
 
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` left-joined to ``side``, whose keys are unique, though one key may hold any share of the rows.
+
+    A key's rows are dealt into ``SALTS`` parts by ``by``. The side meets the distinct parts of its keys
+    first, at most ``SALTS`` for each, so no task has more than a part of a key.
+    """
+    salt = fresh(rows, "_salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.select(*keys, salt).dropna(subset=keys).distinct().join(side, keys)
+    return dealt.join(parts, [*keys, salt], "left").drop(salt)
+
+
 def classes(described: DataFrame) -> DataFrame:
     """Texts with equal sets (id, h1, h2, doc_id, bands). ``doc_id`` is the least of the class and its id; if
     texts of one document make several classes, all but the first have a hash as id."""
@@ -325,23 +338,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         keep=["doc_id"]), "signatures")
     reps = written(classes(described), "classes")
     found = links(docs, reps, percent)
-    # a document belongs to its class, a class to its component; equal ids tie classes together
-    own = described.where(F.col("bands").isNotNull() & F.col("doc_id").isNotNull()).join(
-        reps.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id").distinct()
-    placed = _labelled(own, found)
-    split = placed.groupBy("doc_id").agg(F.min("component").alias("lo"),
-                                         F.max("component").alias("hi")).where("lo <> hi")
-    if not split.isEmpty():
-        tied = placed.join(split.select("doc_id", "lo"), "doc_id").select(
-            F.col("lo").alias("a"), F.col("component").alias("b"))
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-                           .unionByName(tied))
-        placed = _labelled(own, found)
-    placed = written(placed.groupBy("doc_id").agg(F.min("component").alias("component")), "placed")
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    again = placed.join(least, "component").select("doc_id", "component_id")
-    out = described.select("doc_id", "n_shingles").join(again, "doc_id", "left")
-    return out.select(
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = described.select("doc_id", "n_shingles", F.when(known, F.col("h1")).alias("h1"),
+                            F.when(known, F.col("h2")).alias("h2"))
+    placed = _labelled(reps.select("h1", "h2", "id", "doc_id"), found)
+    # texts of one document tie their classes together
+    several = rows.where("h1 IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where(
+        "lo <> hi").select("doc_id")
+    if several.isEmpty():  # then a class id is its least document, and a component the least of those
+        final = placed.select("h1", "h2", F.col("component").alias("component_id"))
+    else:
+        own = written(spread_join(
+            rows.join(several, "doc_id", "left_semi").where("h1 IS NOT NULL"),
+            reps.select("h1", "h2", "id"), ["h1", "h2"], "doc_id").select("doc_id", "id").distinct(), "tied")
+        tied = own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select(
+            "a", F.col("id").alias("b"))
+        found = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                                   .unionByName(tied)), "components-2")
+        placed = _labelled(placed, found)
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        final = spread_join(placed, least, ["component"], "id").select("h1", "h2", "component_id")
+    return spread_join(rows, final, ["h1", "h2"], "doc_id").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True))
         .alias("kept"))
