@@ -251,7 +251,7 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members with their component so far; an id without links is its own."""
-    return members.join(found, "id", "left").select(
+    return members.drop("component").join(found, "id", "left").select(
         *[c for c in members.columns if c != "component"],
         F.coalesce("component", "id").alias("component"))
 
