@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encaje.llm.common import by_batch, fields, fresh, mix64, texts
+from encaje.llm.common import SALTS, by_batch, fields, mix64, spread_join, texts
 from encaje.llm.components import components
 from encaje.session import written
 
@@ -37,7 +37,7 @@ PERCENT = 85
 GROUP = 512  # classes that one task compares at once
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000  # ids that may be broadcast after counting
-SALTS = 64  # parts of the rows of one key in a join
+HOT = 1024  # classes in a band from which its rows are dealt into parts
 CACHE_WORDS = 150_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.default_rng(8)
@@ -220,7 +220,7 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     bands = sizes.groupBy("key").agg(
         F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("most"))
-    rows = members.join(bands, "key").join(sets, "id").select(
+    rows = spread_join(members, bands, ["key"], "id").join(sets, "id").select(
         "key", "id", "component", "set",
         (F.col("component") != F.col("most.component")).alias("outside"),
         F.ceil(F.col("all") / GROUP).cast("long").alias("blocks"),
@@ -256,18 +256,6 @@ def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("component", "id").alias("component"))
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """``rows`` left-joined to ``side``, whose keys are unique, though one key may hold any share of the rows.
-
-    A key's rows are dealt into ``SALTS`` parts by ``by``. The side meets the distinct parts of its keys
-    first, at most ``SALTS`` for each, so no task has more than a part of a key.
-    """
-    salt = fresh(rows, "_salt")
-    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    parts = dealt.select(*keys, salt).dropna(subset=keys).distinct().join(side, keys)
-    return dealt.join(parts, [*keys, salt], "left").drop(salt)
-
-
 def classes(described: DataFrame) -> DataFrame:
     """Texts with equal sets (id, h1, h2, doc_id, bands). ``doc_id`` is the least of the class and its id; if
     texts of one document make several classes, all but the first have a hash as id."""
@@ -282,14 +270,25 @@ def classes(described: DataFrame) -> DataFrame:
 
 
 def bands_of(reps: DataFrame) -> DataFrame:
-    """key and id of all classes that share a band; bands with the same members count once."""
+    """key, id and lead of all classes that share a band; bands with the same members count once.
+
+    The rows of a hot band are dealt into parts. Hot are bands with over a ten-thousandth of all classes,
+    so there are 240,000 at most, 2 MB to broadcast, whatever the size of the table.
+    """
     each = reps.select("id", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"), F.min("id").alias("lead"), F.max("id").alias("last"),
         F.bit_xor(F.xxhash64("id")).alias("x"),
         F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("c > 1")
-    once = shared.groupBy("c", "lead", "last", "x", "y").agg(F.min("key").alias("key"))
-    return each.join(once.select("key", "lead"), "key")
+    once = written(shared.groupBy("c", "lead", "last", "x", "y").agg(F.min("key").alias("key"))
+                   .select("key", "lead", "c"), "shared-bands")
+    hot = F.col("c") > max(HOT, reps.count() // 10_000)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = each.join(F.broadcast(once.where(hot).select("key", F.lit(True).alias("hot"))), "key", "left")
+    sides = once.select("key", "lead", F.explode(
+        F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return dealt.select("key", "id", salt.alias("salt")).join(sides, ["key", "salt"]).select(
+        "key", "id", "lead")
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -301,7 +300,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     sets = written(sets_of(docs, reps.join(lead.select("id"), "id", "left_semi"), rows), "sets")
     parts = lead.groupBy("lead").agg(
         F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("parts"))
-    placed = lead.join(parts, "lead").withColumn(
+    placed = spread_join(lead, parts, ["lead"], "id").withColumn(
         "part", F.pmod(F.xxhash64("id"), F.col("parts")))
     first = parts.select(
         "lead", F.col("lead").alias("id"),
@@ -317,8 +316,8 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
         F.min("component").alias("c0"), F.max("component").alias("c1"),
         F.min(F.struct("l", "part")).alias("g0"), F.max(F.struct("l", "part")).alias("g1"),
     ).where("c0 <> c1 AND g0 <> g1").select("key")
-    rest = written(open_.join(unsettled, "key", "left_semi").select("key", "id", "component"),
-                   "unsettled")
+    rest = written(spread_join(open_, unsettled.withColumn("open", F.lit(True)), ["key"], "id").where("open")
+                   .select("key", "id", "component"), "unsettled")
     more = written(_rest_pairs(rest, sets.select("id", "set"), percent), "links-2")
     if more.isEmpty():
         return now
