@@ -116,3 +116,22 @@ def test_presentation(value):
     assert bands == ["medium", "high", "low", "medium"]
     assert value(present.match_advice(F.col("s")), s=85.0) == "suitable"
     assert value(present.match_advice(F.col("s")), s=70.0) == "not_suitable"
+
+
+def test_sections_of_lower_case_text_equal_those_of_the_general_pattern(spark):
+    from pyspark.sql import functions as F
+
+    from encaje.functions import text as T
+
+    headers, stops = ["formación", "perfil", "formación académica", "per"], ["idiomas", "idea", "experiencia"]
+    texts = ["", None, "formación académica x\ny idiomas z", "Formación a IDIOMAS b", "xper id idea perfil",
+             "formación a ıdıomas b", "perfil ideas", "de perfil i e id\n\nexperienci experiencia", "sin nada",
+             "perfil " + "idi e " * 30000 + "idiomas no"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    general = f"(?isu)(?:{'|'.join(headers)}).*?(?=(?:{'|'.join(stops)})|\\z)"
+    rows = df.select(T.section(F.col("t"), headers, stops).alias("now"),
+                     T.strip(F.regexp_extract("t", general, 0)).alias("general"),
+                     F.regexp_extract("t", T._plain_section(headers, stops), 0).alias("plain"), "t").collect()
+    assert all(r["now"] == r["general"] for r in rows)
+    assert all(r["plain"].strip() == r["general"] for r in rows
+               if r["t"] and r["t"] == r["t"].lower() and "ı" not in r["t"])
