@@ -12,11 +12,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encaje.llm.common import bounded_sample, by_batch, fields, fresh, texts
+from encaje.llm.common import by_batch, fields, fresh, texts
 from encaje.session import written
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -27,16 +28,16 @@ POINTS = b".,;:!?"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_upper", "n_digits", "n_points"]
 SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
+SCORE_PLACES = 1 << 20  # of scores from 0 to 1 that are told apart when labelled rows are counted
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``label_rows`` (of each label) bounds the labelled rows that calibrate the forest. ``good_loss``
-    sets the limit where no labelled bad row passes the base rules."""
+    """All labelled rows calibrate the forest. ``good_loss`` sets the limit where no labelled bad row passes the
+    base rules."""
 
     trees: int = 100
     rows_per_tree: int = 256
-    label_rows: int = 16384
     good_loss: float = 0.002
     least_weight: float = 0.05
     seed: int = 5
@@ -97,31 +98,45 @@ def mean_depth(n: np.ndarray) -> np.ndarray:
                     np.where(n == 2, 1.0, 0.0))
 
 
-def balance(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All values, and for each the share of bad rows above it less the share of good rows above it."""
-    at = np.unique(np.concatenate([good, bad]))
-    return at, (np.searchsorted(np.sort(good), at, side="right") / len(good)
-                - np.searchsorted(np.sort(bad), at, side="right") / len(bad))
+def balance(counted: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All places in order, and for each the share of good rows up to it less that of bad rows."""
+    counted = counted.sort_values("place")
+    good, bad = (np.cumsum(counted[c].to_numpy(np.int64)) for c in ("good", "bad"))
+    return counted["place"].to_numpy(np.int64), good / max(good[-1:].sum(), 1) - bad / max(bad[-1:].sum(), 1)
 
 
-def weights(good: np.ndarray, bad: np.ndarray, settings: Settings) -> np.ndarray | None:
+def weights(counted: pd.DataFrame, settings: Settings) -> np.ndarray | None:
     """How often to split by each feature: the square of how well it parts the labels alone."""
-    if not len(good) or not len(bad):
+    if not counted["good"].any() or not counted["bad"].any():
         return None
-    parts = [np.abs(balance(good[:, i], bad[:, i])[1]).max() for i in range(good.shape[1])]
+    parts = [np.abs(balance(rows)[1]).max() for _, rows in counted.groupby("feature")]
     return np.maximum(parts, settings.least_weight) ** 2
 
 
-def limit_of(good: np.ndarray, bad: np.ndarray, settings: Settings) -> float:
-    """The score above which rows go, by the scores of labelled rows."""
-    if not len(good):
+def limit_of(counted: pd.DataFrame, settings: Settings) -> float:
+    """The score above which rows go, by the counted scores of labelled rows."""
+    if not counted["good"].any():
         return float("inf")
-    if len(bad):
-        at, gain = balance(good, bad)
+    at, gain = balance(counted)
+    if counted["bad"].any():
         best = len(gain) - 1 - int(gain[::-1].argmax())  # of equal ones that which keeps most
         if gain[best] > 0:
-            return float((at[best] + at[best + 1]) / 2)
-    return float(np.quantile(good, 1 - settings.good_loss, method="higher"))
+            return float(at[best] + 1 + at[best + 1]) / 2 / SCORE_PLACES
+    kept = np.cumsum(counted.sort_values("place")["good"].to_numpy(np.int64))
+    last = int(np.ceil((1 - settings.good_loss) * (kept[-1] - 1)))
+    return float(at[np.searchsorted(kept, last, side="right")] + 1) / SCORE_PLACES
+
+
+def places(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of values from 0 up: exponent and the first 12 binary digits."""
+    return np.ascontiguousarray(values, float).view(np.int64) >> 40
+
+
+def count_labels(placed: DataFrame, *by: str) -> pd.DataFrame:
+    """Good and bad rows of every place. Places are bounded in number, whatever the rows."""
+    return placed.groupBy(*by, "place").agg(
+        F.count_if(F.col("quality") == 1).alias("good"),
+        F.count_if(F.col("quality") == 0).alias("bad")).toPandas()
 
 
 class Forest:
@@ -209,18 +224,26 @@ def tree_rows(passing: DataFrame, settings: Settings) -> list[np.ndarray]:
 
 
 def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on rows drawn from all that pass the base rules; set the limit by labels.
+    """Fit trees on rows drawn from all that pass the base rules; all labelled rows set weights and limit.
 
     ``stats`` has doc_id and the statistics, ``labels`` doc_id and quality (1 good, 0 bad). Without
     labelled good rows nothing is rejected by the forest.
     """
     passing = stats.where(~base_failed(settings))
-    good, bad = (features(bounded_sample(
-        labels.where(F.col("quality") == q).select("doc_id").distinct()
-        .join(passing, "doc_id", "inner"), F.col("doc_id"), settings.label_rows).toPandas())
-        for q in (1, 0))
-    forest = Forest(tree_rows(passing, settings), settings, weights(good, bad, settings))
-    return Model(forest, limit_of(forest.score(good), forest.score(bad), settings))
+    labelled = written(labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
+                       .join(passing, "doc_id").select("quality", *COUNTS), "quality-labelled")
+
+    def table(columns: tuple[pa.Array, ...]) -> np.ndarray:
+        return features({k: c.to_numpy(zero_copy_only=False) for k, c in zip(COUNTS, columns, strict=True)})
+
+    placed = by_batch(labelled, COUNTS, fields("at array<bigint>"),
+                      lambda *c: [places(table(c)).tolist()], keep=["quality"])
+    weight = weights(count_labels(placed.select(
+        "quality", F.posexplode("at").alias("feature", "place")), "feature"), settings)
+    forest = Forest(tree_rows(passing, settings), settings, weight)
+    scored = by_batch(labelled, COUNTS, fields("place bigint"), lambda *c: [
+        np.floor(forest.score(table(c)) * SCORE_PLACES).astype(np.int64).tolist()], keep=["quality"])
+    return Model(forest, limit_of(count_labels(scored), settings))
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -557,3 +557,23 @@ def test_one_id_with_two_texts_ties_both(spark):
             kept[0:1], default=None) and kept[0][1] in (a, b)
         first = kept if part == 1 else first
         assert kept == first
+
+
+def test_quality_limit_counts_every_labelled_row():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    good, bad = rng.beta(2, 5, 40_000), rng.beta(5, 2, 30_000)
+    at = np.floor(np.concatenate([good, bad]) * quality.SCORE_PLACES).astype(np.int64)
+    counted = pd.DataFrame({"place": at, "good": np.repeat([1, 0], [len(good), len(bad)]),
+                            "bad": np.repeat([0, 1], [len(good), len(bad)])}).groupby("place", as_index=False).sum()
+    every = np.unique(np.concatenate([good, bad]))
+    gain = (np.searchsorted(np.sort(good), every, side="right") / len(good)
+            - np.searchsorted(np.sort(bad), every, side="right") / len(bad))
+    limit = quality.limit_of(counted, quality.Settings())
+    assert abs((good <= limit).mean() - (bad <= limit).mean() - gain.max()) < 1e-3
+    only_good = counted.assign(bad=0)
+    lost = (good > quality.limit_of(only_good, quality.Settings())).mean()
+    assert 0 < lost <= 0.002
+    assert quality.limit_of(counted.assign(good=0), quality.Settings()) == float("inf")
+    assert (np.diff(quality.places(np.sort(good))) >= 0).all()
