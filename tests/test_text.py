@@ -135,3 +135,20 @@ def test_sections_of_lower_case_text_equal_those_of_the_general_pattern(spark):
     assert all(r["now"] == r["general"] for r in rows)
     assert all(r["plain"].strip() == r["general"] for r in rows
                if r["t"] and r["t"] == r["t"].lower() and "ı" not in r["t"])
+
+
+def test_strip_takes_every_kind_of_space(spark):
+    rows = [(n, chr(n)) for n in range(1, 0x10000) if not 0xD800 <= n <= 0xDFFF]
+    df = spark.createDataFrame(rows, "n int, c string").where(
+        F.regexp_replace("c", T.SPACE, "") != T.strip(F.col("c")))
+    assert df.count() == 0
+
+
+def test_find_all_ignores_case_and_spares_it_for_lower_texts(spark):
+    patterns = [*lexicon.CV_KEYWORDS["experience"], lexicon.TOKEN]
+    texts = ["analista senior, 5 años", "ANALISTA Senior 5 AÑOS", "analıſta analiſta ı", "analista K k", ""]
+    found = T.find_all(t(), patterns)
+    assert "CASE WHEN" in str(found) and "(?iu)" in str(found)
+    plain = F.concat(*[F.regexp_extract_all(t(), F.lit(T.ignoring_case(p)), F.lit(0)) for p in patterns])
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(found.alias("a"), plain.alias("b"))
+    assert all(r["a"] == r["b"] for r in rows.collect())
