@@ -79,3 +79,17 @@ def test_matches_from_prepared_vectors_equal_those_from_texts(spark, path, tmp_p
     some = M.match_vectors(prepared.lookup(spark, path, ["c7"]),
                            prepared.load(spark, str(tmp_path / "jobs")), "cv_id", "job_id", None, ["j3", "j1"])
     assert {r["job_id"] for r in some.collect()} == {"j1", "j3"}
+
+
+def test_old_rows_go_with_one_move_of_the_rows(spark):
+    """Rows hold texts: beside the small touched ids, only one exchange by bucket is planned."""
+    kind = "cv_id string, digest string, text string, terms array<struct<term:string,n:bigint>>, square bigint"
+    fresh = spark.createDataFrame([("a", "2", "new", [], 0), ("a", "2", "new", [], 0)], kind)
+    stored = spark.createDataFrame([("a", "1", "old", [], 0), ("b", "1", "kept", [], 0), ("b", "1", "kept", [], 0),
+                                    ("c", "1", "gone", [], 0)], kind)
+    touched = spark.createDataFrame([("a", 0), ("c", 0)], "cv_id string, bucket int")
+    rows = prepared._without_old(fresh, stored, touched, "cv_id", 8)
+    assert sorted((r["cv_id"], r["text"]) for r in rows.collect()) == [
+        ("a", "new"), ("a", "new"), ("b", "kept"), ("b", "kept")]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
