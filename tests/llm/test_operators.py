@@ -13,6 +13,7 @@ import pytest
 from encaje.llm import (
     decontamination, html, induced, licenses, minhash, packing, quality, secrets, sharding,
     suffixes, toxicity)
+from encaje.llm import queries as llm_queries
 
 SF = "/root/testdata/sf0.001"
 WORDS = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lamda my ny xi omikron pi rho "
@@ -511,6 +512,39 @@ def test_suffixes(spark, docs, none, hot):
     assert len(got[9]) == 2 and suffixes.repeats(none).count() == 0
 
 
+def test_suffixes_finds_planted_passages(spark, tmp_path):
+    """Passages of over 50 words, each in two documents: those of 400 bytes leave, shorter ones stay by contract."""
+    passages = [prose(100 + i, n) for i, n in enumerate((51, 55, 60, 64, 70, 100, 150))]
+    exact = prose(200, 90).encode()
+    passages += [exact[:399].decode(), exact[100:500].decode()]
+    texts, where = {i: "é " + prose(300 + i, 120) for i in range(40)}, {}
+    for i, passage in enumerate(passages):
+        for j, at in ((2 * i, 300), (2 * i + 1, 500)):
+            head = texts[j][:at] + "AB"[j % 2]  # other bytes on both sides: no more than the passage is shared
+            texts[j] = head + passage + "CD"[j % 2] + texts[j][at:]
+            where[j] = (len(head.encode()), len((head + passage).encode()))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in llm_queries.op10_suffixes(spark, str(tmp_path)).collect()}
+    data = {i: t.encode() for i, t in texts.items()}
+    seen = Counter(d[k:k + 400] for d in data.values() for k in range(len(d) - 399))
+    caught = set()
+    for i, d in data.items():
+        mark = bytearray(len(d))
+        for k in range(len(d) - 399):
+            if seen[d[k:k + 400]] > 1:
+                mark[k:k + 400] = b"\1" * 400
+        kept = bytes(x for x, m in zip(d, mark) if not m)
+        assert (got[i].n_bytes, got[i].n_removed) == (len(d), sum(mark))
+        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+        assert got[i].n_spans == len(re.findall(b"\1+", bytes(mark)))
+        if got[i].n_removed:
+            caught.add(i)
+            assert got[i].spans == "{}:{}".format(*where[i])
+    assert caught == {i for i, (a, b) in where.items() if b - a >= 400}
+    assert 0 < len(caught) < len(where)
+
+
 def test_induced_sorting_against_brute_force():
     rng = np.random.default_rng(3)
     for trial in range(60):
